@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing, quality, url_filter
+from marginalia.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, url_filter
 from marginalia.llm.common import UPPER
 from marginalia.runtime import table
 
@@ -18,10 +18,30 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -34,7 +54,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_url_filter, op5_exact_dedup, op7_quality_rules, op8_mix_sources)
+    own = (op2_url_filter, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_quality_rules, op8_mix_sources)
     return {f.__name__: f for f in own}
 
 
