@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, url_filter
+from marginalia.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, suffix_dedup, suffix_lm, url_filter
 from marginalia.llm.common import UPPER
 from marginalia.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -53,8 +58,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.train(docs))
+    base, every = pii.spans_text(F.col("base")), pii.spans_text(F.concat("base", "added"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op2_url_filter, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_quality_rules, op8_mix_sources)
+    own = (op1_suffix_array_dedup, op2_url_filter, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_quality_rules, op8_mix_sources, op9_pii, op10_suffix_tree_lm)
     return {f.__name__: f for f in own}
 
 
