@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     before = by_level.rowsBetween(rest, -1)
     s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("taken", F.coalesce(F.sum("weight").over(before), F.lit(0)))
     s = s.withColumn("open_level", (F.col("whole") - F.col("capped")) / (F.col("weights") - F.col("taken")))
-    level = F.min(F.when(F.col("open_level") <= F.col("level"), F.col("open_level"))).over(everything)
+    level = F.max(F.when(F.col("open_level") <= F.col("level"), F.col("open_level"))).over(everything)
     return s.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
 
 
@@ -75,3 +75,12 @@ def mix(
     crossed = F.least(F.floor((nth + 1) * rate + offset) - F.floor(nth * rate + offset), F.ceil(F.lit(most)))
     joined = ordered.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
     return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` with each row as many times as ``mix`` says, so not at all for 0. Up to ``broadcast_rows`` numbers of
+    copies are sent to the texts; with more, the texts are shuffled. Rows that repeat an id get the id's largest number."""
+    copies = materialise(mix(docs, id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0"), "mix-copies")
+    chosen = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
+    met = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__id"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")

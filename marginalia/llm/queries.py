@@ -93,7 +93,7 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS open_level
                 FROM levels WINDOW b AS (ORDER BY lev, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
             ), aimed AS (
-                SELECT source, source_size, least(cap, coalesce(min(CASE WHEN open_level <= lev THEN open_level END) OVER () * weight, cap)) AS target FROM walked
+                SELECT source, source_size, least(cap, coalesce(max(CASE WHEN open_level <= lev THEN open_level END) OVER () * weight, cap)) AS target FROM walked
             ), ranked AS (
                 SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) - 1 AS nth,
                     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
