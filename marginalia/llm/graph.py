@@ -58,10 +58,11 @@ def star_pairs(keys: DataFrame, shared: DataFrame, broadcast_rows: int) -> DataF
     return shared.where("n = 2").select("a", F.col("z").alias("b")).union(spread).distinct()
 
 
-def residual_pairs(keys: DataFrame, shared: DataFrame, labels: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], broadcast_rows: int) -> DataFrame:
+def residual_pairs(keys: DataFrame, shared: DataFrame, labels: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], broadcast_rows: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components that share a key of three nodes or more and pass ``near``.
 
-    ``payload`` has a row per node with what ``near`` reads; ``near`` gets the two sides' aliases.
+    ``payload`` gives, for the nodes that are asked about, a row with what ``near`` reads; ``near`` gets the two
+    sides' aliases.
     """
     members = _of_keys(keys, shared.where("n > 2").select("key", F.col("a").alias("head")), broadcast_rows)
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -69,19 +70,25 @@ def residual_pairs(keys: DataFrame, shared: DataFrame, labels: DataFrame, payloa
     members = materialise(members.select("key", "node", "component", (F.col("component") != F.col("head_component")).alias("outside")), "members")
     outside = members.where("outside").select("key", "node", "component")
     members = members.join(outside.select("key").distinct(), "key", "left_semi").select("key", "node", "component")
-    x, y = outside.join(payload, "node").alias("x"), members.join(payload, "node").alias("y")
+    load = payload(members.select("node").distinct())
+    x, y = outside.join(load, "node").alias("x"), members.join(load, "node").alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near("x", "y"))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def linked_components(keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(node, component) of the nodes with a link; ``verify`` keeps the pairs (a, b) that are links."""
+def linked_components(keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *, sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, component) of the nodes with a link; ``verify`` keeps the pairs (a, b) that are links.
+
+    ``payload`` has a row per node with what the bound ``near`` reads. ``sharper`` may give another payload and bound
+    for the second pass, worked out for the nodes that are still in question.
+    """
+    load, bound = sharper or (lambda nodes: payload, near)
     shared = shared_keys(keys)
     x, y = payload.alias("x"), payload.alias("y")
     close = star_pairs(keys, shared, broadcast_rows).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near("x", "y"))
     star = materialise(verify(materialise(close.select("a", "b"), "star")), "star-links")
     labels = components(star)
-    rest = materialise(residual_pairs(keys, shared, labels, payload, near, broadcast_rows), "rest")
+    rest = materialise(residual_pairs(keys, shared, labels, load, bound, broadcast_rows), "rest")
     if rest.isEmpty():
         return labels
     return components(star.unionByName(materialise(verify(rest), "rest-links")))

@@ -64,15 +64,21 @@ def signatures(sets: list[np.ndarray], chunks: int) -> np.ndarray:
     return np.bitwise_or.reduce(symbol << shifts, axis=2).view(np.int64)
 
 
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(id, text) -> id, set: the sorted hashes as bytes."""
-    id_type = to_arrow_type(rows.schema["id"].dataType)
+def _sets(rows: DataFrame, width: int, *, one_by_one: bool = False) -> DataFrame:
+    """(id, text) -> id, set: the sorted hashes as bytes; or id, h: a row for each."""
+    kind = rows.schema["id"].dataType
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([s.tobytes() for s in shingles(texts, width)], pa.binary())], names=["id", "set"])
+            sets = shingles(texts, width)
+            if one_by_one:
+                many = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(many)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, set binary")
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, {'h long' if one_by_one else 'set binary'}")
 
 
 def _signed(rows: DataFrame, width: int, chunks: int) -> DataFrame:
@@ -99,11 +105,22 @@ def _differing(x: Column, y: Column) -> Column:
     return F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001)))
 
 
+def _texts_of(rows: DataFrame, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows (id, text) of these nodes, one for each."""
+    wanted = materialise(nodes.select(F.col("node").alias("id")).distinct(), "near-wanted")
+    chosen = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    return rows.join(chosen, "id", "left_semi").dropDuplicates(["id"])
+
+
+def _each_shingle(rows: DataFrame, nodes: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """node, h of every shingle of these nodes."""
+    return materialise(_sets(_texts_of(rows, nodes, broadcast_rows), width, one_by_one=True).withColumnRenamed("id", "node"), "near-each")
+
+
 def _confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) whose full sets have at least ``percent`` per cent of their union in common."""
-    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-wanted")
-    chosen = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    sets = materialise(_sets(rows.join(chosen, "id", "left_semi").dropDuplicates(["id"]), width), "near-sets")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = materialise(_sets(_texts_of(rows, ends, broadcast_rows), width), "near-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +171,20 @@ def near_duplicates(
         alike = (100 * of(x, "n") >= percent * of(y, "n")) & (100 * of(y, "n") >= percent * of(x, "n"))
         return alike & (sum((_differing(of(x, c), of(y, c)) for c in s), F.lit(0)) < 2 * chunks)
 
-    labels = linked_components(keys, nodes.select("node", "n", *s), near, lambda pairs: _confirm(pairs, rows, width, percent, broadcast_rows))
+    payload = nodes.select("node", "n", *s)
+
+    def with_common(asked: DataFrame) -> DataFrame:
+        """The payload of these nodes, with how many of a node's shingles another of them has too."""
+        each = _each_shingle(rows, asked, width, broadcast_rows)
+        common = each.join(each.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+        return materialise(payload.join(asked, "node", "left_semi").join(common, "node", "left").fillna(0, ["common"]), "near-common")
+
+    def nearer(x: str, y: str) -> Column:
+        """Two sets can have no more in common than the less common one has with any."""
+        most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
+        return (100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)) & near(x, y)
+
+    labels = linked_components(keys, payload, near, lambda pairs: _confirm(pairs, rows, width, percent, broadcast_rows), sharper=(with_common, nearer), broadcast_rows=broadcast_rows)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
@@ -162,7 +192,9 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns. Up to ``broadcast_rows`` ids to leave
+    out are sent to the texts; with more, the texts are shuffled."""
+    found = near_duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
+    gone = materialise(found.where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, docs[id_col] == gone["__gone"], "left_anti")
