@@ -108,7 +108,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         form = 1 if re.fullmatch(r"[0-9]{13,19}|[0-9]{4}(?:[ ./_-][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", span) else -1
         valid, known = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1, 1 if digits.startswith(CARD_PREFIXES) else -1
     else:
-        form = 1 if span[0] in "+(" or re.fullmatch(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}", span) else 0
+        form = 1 if span[0] == "+" or re.fullmatch(r"\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}", span) else -1
         valid = 1 if 9 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
         known = 1 if span[0] == "+" or digits.startswith("00") or (len(digits) == 10 and digits[0] > "1" and digits[3] > "1") else -1
     context = 1 if any(w in near for w in FOR[kind]) else -1 if any(w in near for w in AGAINST) else 0

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,3 +192,24 @@ def quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
     return document_stats(docs, id_col, text_col, model).select(
         F.col("id").alias(id_col), *STATS, failed.alias("base_failed"), "good", (~failed & (F.col("good") >= least_good)).alias("kept")
     )
+
+
+def quality_filter(docs: DataFrame, model: Trees, text_col: str = "text", *, least_words: int = 50, repeat_percent: int = 50, least_good: float = 0.2) -> DataFrame:
+    """The documents that ``quality`` keeps, with all their columns; the texts are judged where they are, without a join."""
+    ship_package(docs.sparkSession)
+
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in column]
+            out, at = [np.zeros(0, dtype=bool)], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= 2 << 20):
+                    size, to = size + len(texts[to]), to + 1
+                s = text_stats(texts[at:to])
+                failed = (s["n_words"] < least_words) | (100 * s["n_repeat_words"] > repeat_percent * s["n_words"])
+                out.append(~failed & (1 / (1 + np.exp(-model.log_odds(feature_matrix(s)))) >= least_good))
+                at = to
+            yield pd.Series(np.concatenate(out))
+
+    return docs.where(F.pandas_udf(kept, "boolean")(docs[text_col]))
