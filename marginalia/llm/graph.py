@@ -41,9 +41,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """key, a, z, n of the keys with two nodes or more: smallest and largest node and the rows (one per node)."""
-    return materialise(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z"), "shared-keys")
+def shared_keys(keys: DataFrame, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """key, a, z, n of the keys with two nodes or more: smallest and largest node and the rows (one per node).
+
+    Where the keys carry a number ``load`` of the node, ``alike`` drops the keys whose only two nodes fail it, so that
+    chance meetings end here.
+    """
+    loads = [F.min_by("load", "node").alias("la"), F.max_by("load", "node").alias("lz")] if alike else []
+    found = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n"), *loads).where("a < z")
+    if alike:
+        found = found.where((F.col("n") > 2) | alike(F.col("la"), F.col("lz"))).drop("la", "lz")
+    return materialise(found, "shared-keys")
 
 
 def _of_keys(keys: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -76,14 +84,15 @@ def residual_pairs(keys: DataFrame, shared: DataFrame, labels: DataFrame, payloa
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def linked_components(keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *, sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+def linked_components(keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *, sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, alike: Callable[[Column, Column], Column] | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, component) of the nodes with a link; ``verify`` keeps the pairs (a, b) that are links.
 
     ``payload`` has a row per node with what the bound ``near`` reads. ``sharper`` may give another payload and bound
     for the second pass, worked out for the nodes that are still in question.
     """
     load, bound = sharper or (lambda nodes: payload, near)
-    shared = shared_keys(keys)
+    shared = shared_keys(keys, alike)
+    keys = keys.select("key", "node")
     x, y = payload.alias("x"), payload.alias("y")
     close = star_pairs(keys, shared, broadcast_rows).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near("x", "y"))
     star = materialise(verify(materialise(close.select("a", "b"), "star")), "star-links")
