@@ -292,10 +292,10 @@ def _wide_windows(contexts: DataFrame, window: int) -> DataFrame:
     return met.select("id", "start", (F.col("start") + window).alias("end"))
 
 
-def _by_document(docs: DataFrame, rows: DataFrame, broadcast_rows: int, value) -> DataFrame:
-    """``docs`` with the array ``value`` of each one's rows; at most ``broadcast_rows`` of them are sent to the texts."""
-    grouped = rows.groupBy("id").agg(F.collect_list(value).alias("found"))
-    return docs.join(F.broadcast(grouped) if rows.count() <= broadcast_rows else grouped, "id", "left")
+def _by_document(docs: DataFrame, rows: DataFrame, value) -> DataFrame:
+    """``docs`` with the array ``value`` of each one's rows. The texts are shuffled at every size: what is asked of
+    them grows with the corpus, so it is not sent to them."""
+    return docs.join(rows.groupBy("id").agg(F.collect_list(value).alias("found")), "id", "left")
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -309,13 +309,13 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return own.select(F.col("number").alias("id"), "text"), own.select("number", "id")
 
 
-def covered(rows: DataFrame, *, window: int = 100, most_runs: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def covered(rows: DataFrame, *, window: int = 100, most_runs: int = 20_000) -> DataFrame:
     """(id, text) with unique long ids and no nulls -> id, start, end of covered bytes; they may overlap."""
     ordered = _cut(rows, window).repartition("h").sortWithinPartitions("h", "c", "id", "first")
     met = materialise(_meet(ordered, window, most_runs), "suffix-met")
     settled = met.where("kind = 0").select("id", F.col("first").alias("start"), (F.col("first") + F.col("length")).alias("end"))
     asked = met.where("kind > 0").select("id", "h", "first", F.col("length").alias("size"), "kind")
-    texts = _by_document(rows, asked, broadcast_rows, F.struct("h", "first", "size", "kind")).where("found IS NOT NULL")
+    texts = _by_document(rows, asked, F.struct("h", "first", "size", "kind")).where("found IS NOT NULL")
     spelled = texts.select("id", F.col("text").cast("binary").alias("text"), F.explode("found").alias("r"))
     spelled = spelled.select("r.h", "id", "r.first", F.expr("substring(text, int(r.first) + 1, r.size)").alias("context"), "r.kind")
     spelled = materialise(spelled, "suffix-contexts")
@@ -325,7 +325,7 @@ def covered(rows: DataFrame, *, window: int = 100, most_runs: int = 20_000, broa
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 100, broadcast_rows: int = 1_000_000, **options,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 100, **options,
 ) -> DataFrame:
     """One row per document: ``id_col``, n_bytes, n_removed, spans (maximal removed runs, array of start and
     end in bytes), kept (the remaining bytes).
@@ -337,9 +337,9 @@ def suffix_dedup(
     """
     ship_package(docs.sparkSession)
     rows, names = _numbered(narrow(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))))
-    found = covered(rows, window=window, broadcast_rows=broadcast_rows, **options)
+    found = covered(rows, window=window, **options)
     merged = materialise(_maximal(found), "suffix-merged")
-    met = _by_document(rows, merged, broadcast_rows, F.struct("start", "end")).select("id", F.col("text").cast("binary").alias("text"), F.transform(F.sort_array("found"), lambda s: s["start"]).alias("s"), F.transform(F.sort_array("found"), lambda s: s["end"]).alias("e"))
+    met = _by_document(rows, merged, F.struct("start", "end")).select("id", F.col("text").cast("binary").alias("text"), F.transform(F.sort_array("found"), lambda s: s["start"]).alias("s"), F.transform(F.sort_array("found"), lambda s: s["end"]).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,7 +59,7 @@ def test_shifted_copies_and_periods(spark, most_runs):
         own = " ".join(word() for _ in range(rng.randrange(40)))
         texts[d] = [passage[a:b] + own, own + passage[a:], passage[:b] * 2, "ab" * rng.randrange(120), passage[:a] + "X" + passage[a + 1 :], "is " * 90 + own][kind]
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    check(suffix_dedup.suffix_dedup(rows, most_runs=most_runs, broadcast_rows=0 if most_runs == 2 else 10**6).collect(), texts)
+    check(suffix_dedup.suffix_dedup(rows, most_runs=most_runs).collect(), texts)
 
 
 def test_texts_longer_than_a_piece(spark, monkeypatch):
