@@ -50,7 +50,7 @@ def s05_scaled(spark, sf_dir):
     return stats.scaled(events(spark, sf_dir), ("event_id",), "value")
 
 
-@query("SELECT l_returnflag, mode(l_quantity ORDER BY l_quantity) AS m FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) = 1) GROUP BY l_returnflag")
+@query("WITH c AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_quantity), k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) AS rn FROM c) SELECT l_returnflag, l_quantity AS m FROM k WHERE rn = 1")
 def s10_mode(spark, sf_dir):
     """The most frequent quantity, the smallest of equals."""
     c = lines(spark, sf_dir).groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
@@ -83,30 +83,30 @@ def w01_runs(spark, sf_dir):
     return spans.run_ids(c, ("conv_id",), ("turn", "role", "text"), "role").groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max("run").alias("run"))
 
 
-PROFILE = "prof AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS at, value FROM events)"
+PROFILE = "prof AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value FROM events)"
 
 
 def profile(spark, sf_dir) -> DataFrame:
     """A user's values in time order stand in for a profile along an axis."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events(spark, sf_dir).select("user_id", F.row_number().over(w).alias("at"), "value")
+    return events(spark, sf_dir).select("user_id", F.row_number().over(w).alias("pos"), "value")
 
 
-@query(f"WITH {PROFILE} SELECT user_id, at, round(sum((value > 10)::INT) OVER (PARTITION BY user_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / at, 6) AS precision_ FROM prof")
+@query(f"WITH {PROFILE} SELECT user_id, pos, round(sum((value > 10)::INT) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / pos, 6) AS precision_ FROM prof")
 def w02_running_precision(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return profile(spark, sf_dir).select("user_id", F.col("at").cast("long").alias("at"), F.round(F.sum((F.col("value") > 10).cast("int")).over(w) / F.col("at"), 6).alias("precision_"))
+    w = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return profile(spark, sf_dir).select("user_id", F.col("pos").cast("long").alias("pos"), F.round(F.sum((F.col("value") > 10).cast("int")).over(w) / F.col("pos"), 6).alias("precision_"))
 
 
-@query(f"""WITH {PROFILE}, s AS (SELECT user_id, at, round((2 * value + lead(value, 1) OVER w + lead(value, 2) OVER w + lead(value, 3) OVER w - (lag(value, 4) OVER w + lag(value, 3) OVER w + lag(value, 2) OVER w + 2 * lag(value, 1) OVER w)) / 11, 9) AS slope FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY at)),
-    b AS (SELECT *, lag(slope) OVER (PARTITION BY user_id ORDER BY at) AS before FROM s) SELECT user_id, at FROM b WHERE before < 0 AND slope >= 0""")
+@query(f"""WITH {PROFILE}, s AS (SELECT user_id, pos, round((2 * value + lead(value, 1) OVER w + lead(value, 2) OVER w + lead(value, 3) OVER w - (lag(value, 4) OVER w + lag(value, 3) OVER w + lag(value, 2) OVER w + 2 * lag(value, 1) OVER w)) / 11, 9) AS slope FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+    b AS (SELECT *, lag(slope) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM s) SELECT user_id, pos FROM b WHERE before < 0 AND slope >= 0""")
 def w03_local_minima(spark, sf_dir):
-    return spans.local_minima(profile(spark, sf_dir), ("user_id",), "at", "value").withColumn("at", F.col("at").cast("long"))
+    return spans.local_minima(profile(spark, sf_dir), ("user_id",), "pos", "value").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"WITH {PROFILE} SELECT user_id, at, round(avg(value) OVER (PARTITION BY user_id ORDER BY at ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 5) AS smooth FROM prof")
+@query(f"WITH {PROFILE} SELECT user_id, pos, round(avg(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 5) AS smooth FROM prof")
 def w04_moving_average(spark, sf_dir):
-    return spans.moving_average(profile(spark, sf_dir), ("user_id",), "at", "value", 3).select("user_id", F.col("at").cast("long").alias("at"), F.round("smooth", 5).alias("smooth"))
+    return spans.moving_average(profile(spark, sf_dir), ("user_id",), "pos", "value", 3).select("user_id", F.col("pos").cast("long").alias("pos"), F.round("smooth", 5).alias("smooth"))
 
 
 WINDOWS = "win AS (SELECT doc_id, n_chars, unnest(range(0, greatest(1, CAST(ceil((n_chars - 499) / 140) AS BIGINT)))) AS w FROM documents), cut AS (SELECT doc_id, w, w * 140 AS x0, least(w * 140 + 500, n_chars) - 1 AS x1 FROM win)"
@@ -118,11 +118,11 @@ def w05_sliding_windows(spark, sf_dir):
     return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("x0").cast("long").alias("last_start"), F.max("x1").alias("last_end"))
 
 
-@query(f"""WITH {PROFILE}, m AS (SELECT *, row_number() OVER w AS rn, first_value(at) OVER w AS best FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, at)),
-    f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, at) AS r2 FROM m WHERE abs(at - best) > 4)
-    SELECT user_id, 1 AS choice, at, value AS score FROM m WHERE rn = 1 UNION ALL SELECT user_id, 2, at, value FROM f WHERE r2 = 1""")
+@query(f"""WITH {PROFILE}, m AS (SELECT *, row_number() OVER w AS rn, first_value(pos) OVER w AS best FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, pos)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, pos) AS r2 FROM m WHERE abs(pos - best) > 4)
+    SELECT user_id, 1 AS choice, pos, value AS score FROM m WHERE rn = 1 UNION ALL SELECT user_id, 2, pos, value FROM f WHERE r2 = 1""")
 def w06_best_and_second(spark, sf_dir):
-    return spans.best_and_second(profile(spark, sf_dir).withColumnRenamed("value", "score"), ("user_id",), "at", 4.0).withColumn("at", F.col("at").cast("long"))
+    return spans.best_and_second(profile(spark, sf_dir).withColumnRenamed("value", "score"), ("user_id",), "pos", 4.0).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query()
@@ -151,13 +151,13 @@ def w09_merged_hits(spark, sf_dir):
     return spans.merged_hits(hits(spark, sf_dir), "user_id")
 
 
-@query("""WITH m AS (SELECT o_orderpriority AS p, CAST(floor(o_totalprice / 1000) AS BIGINT) AS at, count(*) AS m FROM orders GROUP BY ALL),
-    c AS (SELECT *, sum(m) OVER (PARTITION BY p ORDER BY at) AS upto, sum(m) OVER (PARTITION BY p) AS total FROM m),
-    x AS (SELECT a.p, a.at AS lo, b.at AS hi, row_number() OVER (PARTITION BY a.p ORDER BY b.at - a.at, a.at) AS rn FROM c a JOIN c b ON a.p = b.p AND b.at >= a.at AND b.upto > round(a.upto - a.m + 0.8 * a.total, 6))
+@query("""WITH m AS (SELECT o_orderpriority AS p, CAST(floor(o_totalprice / 1000) AS BIGINT) AS pos, count(*) AS m FROM orders GROUP BY ALL),
+    c AS (SELECT *, sum(m) OVER (PARTITION BY p ORDER BY pos) AS upto, sum(m) OVER (PARTITION BY p) AS total FROM m),
+    x AS (SELECT a.p, a.pos AS lo, b.pos AS hi, row_number() OVER (PARTITION BY a.p ORDER BY b.pos - a.pos, a.pos) AS rn FROM c a JOIN c b ON a.p = b.p AND b.pos >= a.pos AND b.upto > round(a.upto - a.m + 0.8 * a.total, 6))
     SELECT p, lo, hi FROM x WHERE rn = 1""")
 def w10_smallest_interval(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.floor(F.col("o_totalprice") / 1000).alias("at"), F.lit(1).alias("one"))
-    return spans.smallest_interval(o, "p", "at", "one", 0.8)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.floor(F.col("o_totalprice") / 1000).alias("pos"), F.lit(1).alias("one"))
+    return spans.smallest_interval(o, "p", "pos", "one", 0.8)
 
 
 @query("WITH n AS (SELECT label, vec_id, ntile(5) OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS part FROM embeddings) SELECT vec_id, label, CAST((part + 2) % 5 AS INT) AS fold FROM n")
@@ -171,11 +171,11 @@ def w12_partition_by_size(spark, sf_dir):
     return tables.cut_by_size(o, "o_orderkey", "cents", 5e8).groupBy("node").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PROFILE}, c AS (SELECT *, value > 8 AS up, (lag(value > 8) OVER w IS DISTINCT FROM (value > 8))::INT AS ch FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY at)), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY at) AS run FROM c),
+@query(f"""WITH {PROFILE}, c AS (SELECT *, value > 8 AS up, (lag(value > 8) OVER w IS DISTINCT FROM (value > 8))::INT AS ch FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY pos)), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM c),
     g AS (SELECT user_id, run, any_value(up) AS up, count(*) AS n, run = max(run) OVER (PARTITION BY user_id) AS last FROM r GROUP BY user_id, run) SELECT user_id, CAST(sum(CASE WHEN up AND NOT last THEN n * n ELSE 0 END) AS BIGINT) AS squared FROM g GROUP BY user_id""")
 def w13_squared_runs(spark, sf_dir):
     p = profile(spark, sf_dir).withColumn("up", F.col("value") > 8)
-    return spans.squared_runs(p, ("user_id",), ("at",), "up")
+    return spans.squared_runs(p, ("user_id",), ("pos",), "up")
 
 
 @query("""WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) SELECT a.l_returnflag, count(*) AS n, round(sum(k.l_quantity), 2) AS quantity FROM lineitem a JOIN k USING (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) GROUP BY a.l_returnflag""")

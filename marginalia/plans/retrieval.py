@@ -160,14 +160,14 @@ def _book(spark, sf_dir) -> DataFrame:
     return items(spark, sf_dir).where("item < 16").select(F.col("item").alias("code"), F.col("v").alias("center"))
 
 
-@query(f"WITH {BOOK}, b AS (SELECT item, min(struct_pack(d := d, code := code)) AS b FROM d GROUP BY item) SELECT item, b.code AS code, round(b.d, 5) AS d FROM b")
+@query(f"WITH {BOOK}, b AS (SELECT item, min(struct_pack(d := d, code := code)) AS b FROM d GROUP BY item) SELECT item, b.code AS code, b.d AS d FROM b")
 def v01_nearest_codeword(spark, sf_dir):
-    return codebook.nearest(items(spark, sf_dir), _book(spark, sf_dir)).select("item", "code", F.round("d", 5).alias("d"))
+    return codebook.nearest(items(spark, sf_dir), _book(spark, sf_dir))
 
 
-@query(f"WITH {BOOK}, n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d, code) AS rn FROM d) SELECT item, code, round(1 / (0.0001 + d) / sum(1 / (0.0001 + d)) OVER (PARTITION BY item), 4) AS weight FROM n WHERE rn <= 3")
+@query(f"WITH {BOOK}, n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d, code) AS rn FROM d) SELECT item, code, round(1 / (0.0001 + d) / sum(1 / (0.0001 + d)) OVER (PARTITION BY item), 6) AS weight FROM n WHERE rn <= 3")
 def v02_soft_assignment(spark, sf_dir):
-    return codebook.soft_assignment(items(spark, sf_dir), _book(spark, sf_dir), 3).select("item", "code", F.round("weight", 4).alias("weight"))
+    return codebook.soft_assignment(items(spark, sf_dir), _book(spark, sf_dir), 3)
 
 
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: sign(x) * pow(abs(x), 0.35)) AS v FROM embeddings)

@@ -13,7 +13,7 @@ from marginalia.runtime import table
 
 TOKENS = r"""
     cleaned AS (SELECT doc_id, list_filter(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[-_~\[\]]', ' ', 'g'), '[^A-Za-z0-9_\s&()]', '', 'g'), '([()])', ' \1 ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: w <> '') AS ws FROM documents),
-    tok AS (SELECT doc_id, unnest(range(0, len(ws))) AS at, unnest(ws) AS word FROM cleaned)"""
+    tok AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM cleaned)"""
 NAMES = "names AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part)"
 GRAMS = f"{BENCH_WORDS}, cut AS (SELECT unnest(list_transform(range(1, len(word)), lambda i: substr(word, i, 2))) AS ngram FROM lex), grams AS (SELECT ngram, count(*) AS freq FROM cut GROUP BY ngram ORDER BY freq DESC, ngram LIMIT 20)"
 
@@ -131,13 +131,13 @@ def _step(spark, sf_dir) -> DataFrame:
     return text_ops.simulate_step(ids, grams(spark, sf_dir), lex(spark, sf_dir), "word_id")
 
 
-STEP = f"""WITH {TOKENS}, {GRAMS}, ids AS (SELECT doc_id * 1000000 + at AS word_id, word FROM tok WHERE word IN (SELECT word FROM lex) AND regexp_full_match(word, '[a-z]+')),
-    hit AS (SELECT word_id, word, ngram, unnest(list_filter(range(1, len(word)), lambda i: substr(word, i, 2) = ngram)) AS at FROM ids JOIN grams ON contains(word, ngram)),
-    apart AS (SELECT *, row_number() OVER (PARTITION BY word_id, ngram ORDER BY at) AS k, lag(at) OVER (PARTITION BY word_id, ngram ORDER BY at) AS prev FROM hit),
-    single AS (SELECT * FROM apart WHERE prev IS NULL OR at - prev >= 2 OR (at - prev = 1 AND k % 2 = 1)),
-    seen AS (SELECT *, ('0x' || md5(concat_ws('|', 'spot', ngram, word_id::VARCHAR, at::VARCHAR))[1:7])::BIGINT / 268435456.0::DOUBLE AS draw FROM single),
-    got AS (SELECT word_id, word, at, ngram FROM seen WHERE draw < 0.5),
-    letters AS (SELECT word_id, count(DISTINCT l) AS n_spotted FROM (SELECT word_id, unnest([at, at + 1]) AS l FROM got) GROUP BY word_id)
+STEP = f"""WITH {TOKENS}, {GRAMS}, ids AS (SELECT doc_id * 1000000 + pos AS word_id, word FROM tok WHERE word IN (SELECT word FROM lex) AND regexp_full_match(word, '[a-z]+')),
+    hit AS (SELECT word_id, word, ngram, unnest(list_filter(range(1, len(word)), lambda i: substr(word, i, 2) = ngram)) AS pos FROM ids JOIN grams ON contains(word, ngram)),
+    apart AS (SELECT *, row_number() OVER (PARTITION BY word_id, ngram ORDER BY pos) AS k, lag(pos) OVER (PARTITION BY word_id, ngram ORDER BY pos) AS prev FROM hit),
+    single AS (SELECT * FROM apart WHERE prev IS NULL OR pos - prev >= 2 OR (pos - prev = 1 AND k % 2 = 1)),
+    seen AS (SELECT *, ('0x' || md5(concat_ws('|', 'spot', ngram, word_id::VARCHAR, pos::VARCHAR))[1:7])::BIGINT / 268435456.0::DOUBLE AS draw FROM single),
+    got AS (SELECT word_id, word, pos, ngram FROM seen WHERE draw < 0.5),
+    letters AS (SELECT word_id, count(DISTINCT l) AS n_spotted FROM (SELECT word_id, unnest([pos, pos + 1]) AS l FROM got) GROUP BY word_id)
     SELECT ids.word_id, len(word) AS n_letters, round(coalesce(n_spotted, 0) / len(word), 6) AS spotted_share FROM ids LEFT JOIN letters USING (word_id)"""
 
 
@@ -151,7 +151,7 @@ def t15_progress_buckets(spark, sf_dir):
     return text_ops.progress_buckets(_step(spark, sf_dir))
 
 
-@query(f"WITH {TOKENS}, f AS (SELECT word, min(doc_id * 1000000 + at) AS first, count(*) AS n FROM tok GROUP BY word) SELECT word, first, n, row_number() OVER (ORDER BY first, word) AS class_id FROM f")
+@query(f"WITH {TOKENS}, f AS (SELECT word, min(doc_id * 1000000 + pos) AS first, count(*) AS n FROM tok GROUP BY word) SELECT word, first, n, row_number() OVER (ORDER BY first, word) AS class_id FROM f")
 def t16_class_ids(spark, sf_dir):
     out = text_ops.class_ids(words(spark, sf_dir).select("word", (F.col("doc_id") * 1000000 + F.col("at")).alias("o")), "word", "o")
     return out.withColumn("class_id", F.col("class_id").cast("long"))
@@ -176,11 +176,11 @@ def s08_idf(spark, sf_dir):
 
 @query(f"""WITH {TOKENS}, c AS (SELECT doc_id, word, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT word, sum(tf) AS n FROM c GROUP BY word),
     raw AS (SELECT doc_id, word, tf / sum(tf) OVER (PARTITION BY doc_id) * ln((SELECT sum(tf) FROM c) / n) AS raw FROM c JOIN n USING (word)),
-    w AS (SELECT doc_id, word, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 5) DESC, word) AS rn FROM w)
-    SELECT doc_id, word AS term, round(weight, 5) AS weight FROM k WHERE rn <= 3""")
+    w AS (SELECT doc_id, word, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, word) AS rn FROM w)
+    SELECT doc_id, word AS term, round(weight, 6) AS weight FROM k WHERE rn <= 3""")
 def s07_tfidf(spark, sf_dir):
     """The three heaviest terms of every document."""
-    w = stats.tfidf(words(spark, sf_dir).withColumnRenamed("word", "term"), "doc_id").withColumn("weight", F.round("weight", 5))
+    w = stats.tfidf(words(spark, sf_dir).withColumnRenamed("word", "term"), "doc_id")
     return w.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where("rn <= 3").drop("rn")
 
 
