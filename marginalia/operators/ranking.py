@@ -46,13 +46,13 @@ def precision_at_1(ranked: DataFrame, by: tuple[str, ...] = ("query",)) -> DataF
 
 
 def at_k(ranked: DataFrame, k: int, by: tuple[str, ...] = ("query",)) -> DataFrame:
-    """``by``, ap_at_k over at most k relevant, p_at_k as the precision at the last hit by k (0 if none), recall_at_k."""
+    """``by``, ap_at_k over at most k relevant, p_at_k as the precision at the last hit by k (0 if none), recall_at_k; null without relevant items."""
     part = F.when(F.col("relevant") & (F.col("place") <= k), F.col("hits") / F.col("place"))
     found = F.max(F.when(F.col("place") <= k, F.col("hits")))
     return _placed(ranked, by).groupBy(*by).agg(
-        (F.coalesce(F.sum(part), F.lit(0.0)) / F.least(F.lit(k), F.sum(F.col("relevant").cast("int")))).alias("ap_at_k"),
+        (F.coalesce(F.sum(part), F.lit(0.0)) / F.nullif(F.least(F.lit(k), F.sum(F.col("relevant").cast("int"))), F.lit(0))).alias("ap_at_k"),
         F.coalesce(F.max_by(part, F.when(part.isNotNull(), F.col("place"))), F.lit(0.0)).alias("p_at_k"),
-        (found / F.sum(F.col("relevant").cast("int"))).alias("recall_at_k"),
+        (found / F.nullif(F.sum(F.col("relevant").cast("int")), F.lit(0))).alias("recall_at_k"),
     )
 
 

@@ -41,11 +41,12 @@ def otsu(hist: DataFrame, *, last: bool = True) -> DataFrame:
 
 
 def scaled(rows: DataFrame, keys: tuple[str, ...], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """keys, scaled (min-max into [low, high]), z (n - 1 in the deviation) and squashed, the logistic of z."""
+    """keys, scaled (min-max into [low, high]), z (n - 1 in the deviation) and squashed, the logistic of z;
+    null where all values are equal."""
     s = rows.agg(F.min(value).alias("a"), F.max(value).alias("b"), F.avg(value).alias("m"), F.stddev_samp(value).alias("d"))
     met = rows.join(F.broadcast(s))
-    z = (F.col(value) - F.col("m")) / F.col("d")
-    return met.select(*keys, F.round(low + (high - low) * (F.col(value) - F.col("a")) / (F.col("b") - F.col("a")), 6).alias("scaled"), F.round(z, 6).alias("z"), F.round(1 / (1 + F.exp(-z)), 6).alias("squashed"))
+    z = (F.col(value) - F.col("m")) / F.nullif(F.col("d"), F.lit(0.0))
+    return met.select(*keys, F.round(low + (high - low) * (F.col(value) - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)), 6).alias("scaled"), F.round(z, 6).alias("z"), F.round(1 / (1 + F.exp(-z)), 6).alias("squashed"))
 
 
 def idf(terms: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from marginalia.operators.tables import positions
 #: The annotation line, as the strict and the lenient scan read it.
 LENIENT = r"^(.+\.\S+) ([-\d]+) ([-\d]+) ([-\d]+) ([-\d]+) (\w+)"
 STRICT = r"^(.*\.\w+) (\d+) (\d+) (\d+) (\d+) (.*)$"
+#: A whole file's text without the blanks and line ends around it.
+TRIM = r"^\s+|\s+$"
 MODES = ("lenient", "failfast", "dropmalformed")
 
 
@@ -78,9 +80,9 @@ def write_json_split(boxes: DataFrame, path: str, share: float = 0.85) -> None:
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """ngram, ids: pairs of lines, a key and a comma-separated list whose numbers are the ids. One file is one list, so
     its lines are numbered in it."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", TRIM, ""), r"\r?\n")).alias("i", "line"))
     key = lines.where("i % 2 = 0").select((F.col("i") / 2).cast("int").alias("k"), F.trim("line").alias("ngram"))
-    ids = lines.where("i % 2 = 1").select(F.floor(F.col("i") / 2).cast("int").alias("k"), F.transform(F.regexp_extract_all("line", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long")).alias("ids"))
+    ids = lines.where("i % 2 = 1").select(F.floor(F.col("i") / 2).cast("int").alias("k"), F.regexp_extract_all("line", F.lit(r"\d+"), F.lit(0)).cast("array<bigint>").alias("ids"))
     return key.join(ids, "k").drop("k")
 
 
@@ -154,7 +156,7 @@ def read_lines(spark: SparkSession, path: str, *, ranked: bool = False) -> DataF
     """word of every line; with ``ranked``, rank from 1 within the file, which is read whole."""
     if not ranked:
         return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", TRIM, ""), r"\r?\n")).alias("i", "line"))
     return lines.select((F.col("i") + 1).alias("rank"), F.lower(F.trim("line")).alias("word"))
 
 
@@ -170,7 +172,7 @@ def read_registrations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """name, row, values of ``[ rows cols ] v v ...`` files, one matrix each."""
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("name"), F.split(F.trim(F.regexp_replace("value", r"[\[\]]", " ")), r"\s+").alias("f"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.split(F.trim(F.regexp_replace(F.regexp_replace("value", TRIM, ""), r"[\[\]]", " ")), r"\s+").alias("f"))
     t = t.select("name", F.element_at("f", 1).cast("int").alias("r"), F.element_at("f", 2).cast("int").alias("c"), F.slice("f", 3, 2_000_000_000).cast("array<double>").alias("v"))
     return t.select("name", "c", "v", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("row")).select("name", "row", F.expr("slice(v, row * c + 1, c)").alias("values"))
 
@@ -185,14 +187,14 @@ def write_matrix(rows: DataFrame, path: str) -> None:
 
 def read_codebook(spark: SparkSession, path: str) -> DataFrame:
     """code, center: a count, a depth and one value per line."""
-    t = spark.read.option("wholetext", True).text(path).select(F.split(F.trim("value"), r"\s+").cast("array<double>").alias("v"))
+    t = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", TRIM, ""), r"\s+").cast("array<double>").alias("v"))
     t = t.select(F.element_at("v", 2).cast("int").alias("d"), "v", F.explode(F.sequence(F.lit(0), F.element_at("v", 1).cast("int") - 1)).alias("code"))
     return t.select("code", F.expr("slice(v, code * d + 3, d)").alias("center"))
 
 
 def read_weighted_codebook(spark: SparkSession, path: str) -> DataFrame:
     """code, center, idf of comma-separated rows whose last field is the weight."""
-    t = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("code", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", TRIM, ""), r"\r?\n")).alias("code", "line"))
     v = F.split("line", ",").cast("array<double>")
     return t.select("code", F.slice(v, 1, F.size(v) - 1).alias("center"), F.element_at(v, -1).alias("idf"))
 
