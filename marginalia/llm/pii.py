@@ -29,8 +29,9 @@ WIDE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[1-9][0-9 -]{8,16}[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
 }
-#: A wide form can't be there without one of these, which are much faster to look for.
-HINTS = {"email": ("at)", "at]", "at}", "AT)", "AT]", "AT}"), "ip": ("[.]", "(.)", "dot]", "dot)"), "card": None, "phone": None}
+#: A wide form can't be there without one of these in lower case, which are much faster to look for. ASCII letters of
+#: the wide forms match others only in case: none of a, t, d and o folds with a letter outside ASCII.
+HINTS = {"email": ("at)", "at]", "at}"), "ip": ("[.]", "(.)", "dot]", "dot)"), "card": None, "phone": None}
 
 #: Gazetteers and context words.
 TOP_LEVELS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn br in ru ch at be se no dk fi pl pt".split())
@@ -80,10 +81,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def wide_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    out, lower = [], text.lower()
     for kind, pattern in WIDE.items():
         hints = HINTS[kind]
-        if hints is None or any(h in text for h in hints):
+        if hints is None or any(h in lower for h in hints):
             out.extend((kind, *m.span()) for m in pattern.finditer(text))
     return out
 
