@@ -147,7 +147,7 @@ def near_duplicates(
     ``2 * chunks - 1`` symbols have, by the pigeonhole principle, a chunk with at most one error; each
     chunk is therefore indexed four times, each time without one of its symbols, and pairs within that
     distance always meet. With 40 symbols a pair at 80 % differs in 8 on average; it goes
-    past 19 about once in 100,000 times. Pairs that meet are confirmed on their full sets, read again for the
+    past 19 about once in 46,000 times. Pairs that meet are confirmed on their full sets, read again for the
     documents in question only. ``graph`` tells how large groups are linked without all their pairs.
 
     A null text has no words: no shingles, no links. A null id can't be referred to: its component is
