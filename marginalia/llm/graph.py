@@ -1,14 +1,17 @@
-"""Groups of near copies without all pairs: star links, components, and a search over what is left.
+"""Groups of near copies without all pairs: hubs, components, and a search over what is left.
 
 Candidates come as rows (key, node): nodes that share a key may be linked. All pairs of a key would grow
-with the square of its nodes, so the links are found in two passes that lose no connection:
-
-1. *Stars.* Every node is paired with the smallest node of each of its keys. The caller verifies those
-   pairs; the verified ones give components.
-2. *The rest.* A key whose nodes are all in one component needs nothing more, as any further link of it
-   joins what is joined. In the other keys, each node outside the component of the key's smallest node meets the
-   nodes of other components there; the caller's cheap bound is tested inside the join. A link of the
-   key between two components has at least one such node, so none is lost.
+with the square of its nodes, so the links are found in turns that lose no connection:
+
+1. *Hubs.* Of a key's nodes the one that meets most others over all its keys is its hub: an original has more in common
+   with its variants than they have with each other. The hub meets the key's other nodes, except those that are in its component already. The caller verifies the pairs; all links so far give components. A hub has then met its whole
+   key and leaves it. Keys whose nodes are now all in one component need nothing more, as any further link of
+   theirs joins what is joined; the others take their next hub, for a few turns.
+2. *The rest.* In keys that still hold several components, nodes of different ones meet by the caller's own search, or
+   within the key where the caller's cheap bound, tested inside the join, lets them.
+
+Each turn is linear in the rows of the keys still open. Every pair of a key was met, or was in one component, or
+failed the bound or the search, so no link of a key is lost.
 """
 
 from __future__ import annotations
@@ -41,16 +44,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def shared_keys(keys: DataFrame, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def shared_keys(keys: DataFrame, alike: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, a, z, n of the keys with two nodes or more: smallest and largest node and the rows (one per node).
 
-    Where the keys carry a number ``load`` of the node, ``alike`` drops the keys whose only two nodes fail it, so that
-    chance meetings end here.
+    Where the keys carry a number ``load`` of the node, ``alike`` is asked about the differing bits of the only two nodes of
+    a key and drops the key if they fail it, so that chance meetings end here. A null load passes.
     """
-    loads = [F.min_by("load", "node").alias("la"), F.max_by("load", "node").alias("lz")] if alike else []
+    loads = [F.bit_xor("load").alias("x"), F.count("load").alias("known")] if alike else []
     found = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n"), *loads).where("a < z")
     if alike:
-        found = found.where((F.col("n") > 2) | alike(F.col("la"), F.col("lz"))).drop("la", "lz")
+        found = found.where((F.col("n") > 2) | (F.col("known") < 2) | alike(F.col("x"))).drop("x", "known")
     return materialise(found, "shared-keys")
 
 
@@ -59,45 +62,53 @@ def _of_keys(keys: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFra
     return keys.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, "key")
 
 
-def star_pairs(keys: DataFrame, shared: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Distinct (a, b), a being the smallest node of a key of b's. Keys of two nodes are pairs already."""
-    large = shared.where("n > 2").select("key", "a")
-    spread = _of_keys(keys, large, broadcast_rows).where("node <> a").select("a", F.col("node").alias("b"))
-    return shared.where("n = 2").select("a", F.col("z").alias("b")).union(spread).distinct()
-
+def _with_hubs(members: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(key, node, component) -> the same with hub and hub_component, without the keys that have only one component."""
+    members = materialise(members, "members")
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
+    rows = materialise(_of_keys(members, materialise(open_, "open-keys"), broadcast_rows), "open-members")
+    met = rows.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = rows.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
+    return materialise(rows.join(hubs, "key").select("key", "node", "component", "hub", "hub_component"), "hub-members")
 
-def residual_pairs(keys: DataFrame, shared: DataFrame, labels: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], broadcast_rows: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components that share a key of three nodes or more and pass ``near``.
 
-    ``payload`` gives, for the nodes that are asked about, a row with what ``near`` reads; ``near`` gets the two
-    sides' aliases.
-    """
-    members = _of_keys(keys, shared.where("n > 2").select("key", F.col("a").alias("head")), broadcast_rows)
-    members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = members.join(labels.toDF("head", "head_component"), "head", "left").withColumn("head_component", F.coalesce("head_component", "head"))
-    members = materialise(members.select("key", "node", "component", (F.col("component") != F.col("head_component")).alias("outside")), "members")
-    outside = members.where("outside").select("key", "node", "component")
-    members = members.join(outside.select("key").distinct(), "key", "left_semi").select("key", "node", "component")
-    load = payload(members.select("node").distinct())
-    x, y = outside.join(load, "node").alias("x"), members.join(load, "node").alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near("x", "y"))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def linked_components(keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *, sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, alike: Callable[[Column, Column], Column] | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+def linked_components(
+    keys: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], *,
+    alike: Callable[[Column], Column] | None = None, rest: Callable[[DataFrame], DataFrame] | None = None, turns: int = 2, broadcast_rows: int = 200_000,
+) -> DataFrame:
     """(node, component) of the nodes with a link; ``verify`` keeps the pairs (a, b) that are links.
 
-    ``payload`` has a row per node with what the bound ``near`` reads. ``sharper`` may give another payload and bound
-    for the second pass, worked out for the nodes that are still in question.
+    ``payload`` has a row per node with what the bound ``near`` reads. ``alike`` is explained at ``shared_keys``. ``rest`` gets
+    (node, component) of the nodes still in question and gives every pair (a, b) of different components that may be linked;
+    without it they meet in their keys. ``turns`` is the number of hubs that a key takes before the rest is searched.
     """
-    load, bound = sharper or (lambda nodes: payload, near)
     shared = shared_keys(keys, alike)
-    keys = keys.select("key", "node")
     x, y = payload.alias("x"), payload.alias("y")
-    close = star_pairs(keys, shared, broadcast_rows).join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near("x", "y"))
-    star = materialise(verify(materialise(close.select("a", "b"), "star")), "star-links")
-    labels = components(star)
-    rest = materialise(residual_pairs(keys, shared, labels, load, bound, broadcast_rows), "rest")
-    if rest.isEmpty():
-        return labels
-    return components(star.unionByName(materialise(verify(rest), "rest-links")))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        met = materialise(pairs.distinct(), "met")
+        close = met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near("x", "y")).select("a", "b")
+        return materialise(verify(materialise(close, "close")), "near-links")
+
+    two = shared.where("n = 2").select("a", F.col("z").alias("b"))
+    members = _of_keys(keys.select("key", "node"), shared.where("n > 2").select("key"), broadcast_rows).withColumn("component", F.col("node"))
+    links = labels = None
+    for turn in range(turns + 1):
+        members = _with_hubs(members, broadcast_rows)
+        pairs = members.where("component <> hub_component").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        if turn == 0:
+            pairs = pairs.union(two)
+        elif members.isEmpty():
+            break
+        elif turn == turns and rest:
+            pairs = rest(members.select("node", "component").distinct())
+        elif turn == turns:
+            loaded = members.select("key", "node", "component").join(payload, "node")
+            pairs = loaded.alias("x").join(loaded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        found = links_of(pairs)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        left = members.where("node <> hub").select("key", "node")
+        members = left.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    return labels

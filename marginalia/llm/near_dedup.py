@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -18,6 +18,8 @@ from marginalia.runtime import materialise, ship_package
 
 #: A chunk is one long: four minimum hashes of 16 bits. One of its symbols may differ.
 SYMBOLS, BITS = 4, 16
+#: Tasks over which one shingle's documents are dealt where documents meet in shingles.
+SPREAD = 8
 
 
 def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -59,26 +61,25 @@ def signatures(sets: list[np.ndarray], chunks: int) -> np.ndarray:
                 h = (flat ^ b[j]) * a[j]
                 h ^= h >> np.uint64(32)
                 low[full, j] = np.minimum.reduceat(h * np.uint64(0x9E3779B97F4A7C15), starts)
+    # a minimum's top bits are near zero for every large set: mixed, all its bits count
+    with np.errstate(over="ignore"):
+        low = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     symbol = (low >> np.uint64(64 - BITS)).reshape(len(sets), chunks, SYMBOLS)
     shifts = np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(BITS)
     return np.bitwise_or.reduce(symbol << shifts, axis=2).view(np.int64)
 
 
-def _sets(rows: DataFrame, width: int, *, one_by_one: bool = False) -> DataFrame:
-    """(id, text) -> id, set: the sorted hashes as bytes; or id, h: a row for each."""
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """(id, text) -> id, set: the sorted hashes as bytes."""
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
             sets = shingles(texts, width)
-            if one_by_one:
-                many = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(many)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, {'h long' if one_by_one else 'set binary'}")
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, set binary")
 
 
 def _signed(rows: DataFrame, width: int, chunks: int) -> DataFrame:
@@ -114,7 +115,59 @@ def _texts_of(rows: DataFrame, nodes: DataFrame, broadcast_rows: int) -> DataFra
 
 def _each_shingle(rows: DataFrame, nodes: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
     """node, h of every shingle of these nodes."""
-    return materialise(_sets(_texts_of(rows, nodes, broadcast_rows), width, one_by_one=True).withColumnRenamed("id", "node"), "near-each")
+    chosen = _texts_of(rows, nodes, broadcast_rows)
+    kind = chosen.schema["id"].dataType
+    id_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_chunks(batches):
+            sets = shingles(texts, width)
+            many = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(many)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "h"])
+
+    return materialise(chosen.mapInArrow(run, f"node {kind.simpleString()}, h long"), "near-each")
+
+
+def _by_rare_shingles(asked: DataFrame, rows: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], width: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """Pairs (a, b) of these nodes (node, component) that may be linked, of different components.
+
+    The order of shingles goes from rare to frequent. Two sets of m <= n shingles linked at the share t = ``percent`` / 100
+    have at least t / (1 + t) * (m + n) in common, so one of the first m - 2 * t / (1 + t) * m + 1 of the lesser set is among the
+    first n - t * n + 1 of the larger. Beyond the first shingles of both lie at most as many common ones as the larger of the two
+    remainders, so the first ones must share the difference. Documents that only share a passage which many have
+    thus don't meet: their first shingles are their own. All of this is exact; the bound on signatures is tested besides.
+    """
+    asked = materialise(asked, "near-asked")
+    each = _each_shingle(rows, asked, width, broadcast_rows)
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    known = materialise(each.join(shared, "h"), "near-common")
+    n = F.col("n")
+    first = n - F.ceil(n * percent / 100) + 1
+    lesser = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    # shingles that no other set has come first in the order and meet nobody
+    own = n - F.col("common")
+    sizes = known.groupBy("node").agg(F.count("*").alias("common")).join(payload, "node").join(asked, "node")
+    able = materialise(sizes.withColumns({"first": first - own, "lesser": lesser - own, "beyond": n - first}).where("first > 0"), "near-able")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
+    prefix = known.join(able.select("node", "first", "lesser"), "node").withColumn("place", place).where("place <= first")
+    prefix = materialise(prefix.select("node", "h", (F.col("place") <= F.col("lesser")).alias("early")), "near-prefix")
+    # a map of 256 bits tells most pairs apart: beyond its common bits there are only as many common shingles as fell on bits already set
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(3)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    maps = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"m{w}") for w in range(4)]
+    firsts = prefix.groupBy("node").agg(F.collect_list("h").alias("firsts"), *maps)
+    bits = lambda of: sum((of(w) for w in range(4)), F.lit(0))
+    loaded = materialise(able.join(firsts.withColumn("hidden", F.size("firsts") - bits(lambda w: F.bit_count(f"m{w}"))), "node"), "near-firsts")
+    # a frequent shingle is dealt over several tasks: one side by node, the other to all of them
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])), F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
+    x = prefix.where("early").withColumn("part", left).join(loaded, "node").repartition(parts, "h", "part").alias("x")
+    y = prefix.withColumn("part", right).join(loaded, "node").repartition(parts, "h", "part").alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent)) - F.greatest("x.beyond", "y.beyond")
+    likely = bits(lambda w: F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}")))) + F.least("x.hidden", "y.hidden") >= needed
+    enough = likely & (F.size(F.array_intersect("x.firsts", "y.firsts")) >= needed)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & ordered & near("x", "y") & enough)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int, broadcast_rows: int) -> DataFrame:
@@ -137,7 +190,7 @@ def _confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int, broadc
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, chunks: int = 10, broadcast_rows: int = 1_000_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, chunks: int = 10, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id (the smallest id reachable), kept.
 
@@ -173,18 +226,10 @@ def near_duplicates(
 
     payload = nodes.select("node", "n", *s)
 
-    def with_common(asked: DataFrame) -> DataFrame:
-        """The payload of these nodes, with how many of a node's shingles another of them has too."""
-        each = _each_shingle(rows, asked, width, broadcast_rows)
-        common = each.join(each.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
-        return materialise(payload.join(asked, "node", "left_semi").join(common, "node", "left").fillna(0, ["common"]), "near-common")
-
-    def nearer(x: str, y: str) -> Column:
-        """Two sets can have no more in common than the less common one has with any."""
-        most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
-        return (100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)) & near(x, y)
+    def rest(asked: DataFrame) -> DataFrame:
+        return _by_rare_shingles(asked, rows, payload, near, width, percent, broadcast_rows)
 
-    labels = linked_components(keys, payload, near, lambda pairs: _confirm(pairs, rows, width, percent, broadcast_rows), sharper=(with_common, nearer), broadcast_rows=broadcast_rows)
+    labels = linked_components(keys, payload, near, lambda pairs: _confirm(pairs, rows, width, percent, broadcast_rows), rest=rest, broadcast_rows=broadcast_rows)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
@@ -192,7 +237,7 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns. Up to ``broadcast_rows`` ids to leave
     out are sent to the texts; with more, the texts are shuffled."""
     found = near_duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
