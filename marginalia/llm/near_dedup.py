@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +128,14 @@ def _each_shingle(rows: DataFrame, nodes: DataFrame, width: int, broadcast_rows:
     return materialise(chosen.mapInArrow(run, f"node {kind.simpleString()}, h long"), "near-each")
 
 
-def _by_rare_shingles(asked: DataFrame, rows: DataFrame, payload: DataFrame, near: Callable[[str, str], Column], width: int, percent: int, broadcast_rows: int) -> DataFrame:
+def _by_rare_shingles(asked: DataFrame, rows: DataFrame, sizes: DataFrame, width: int, percent: int, broadcast_rows: int) -> DataFrame:
     """Pairs (a, b) of these nodes (node, component) that may be linked, of different components.
 
     The order of shingles goes from rare to frequent. Two sets of m <= n shingles linked at the share t = ``percent`` / 100
     have at least t / (1 + t) * (m + n) in common, so one of the first m - 2 * t / (1 + t) * m + 1 of the lesser set is among the
     first n - t * n + 1 of the larger. Beyond the first shingles of both lie at most as many common ones as the larger of the two
     remainders, so the first ones must share the difference. Documents that only share a passage which many have
-    thus don't meet: their first shingles are their own. All of this is exact; the bound on signatures is tested besides.
+    thus don't meet: their first shingles are their own. All of this is exact. ``sizes`` has n of every node.
     """
     asked = materialise(asked, "near-asked")
     each = _each_shingle(rows, asked, width, broadcast_rows)
@@ -146,8 +146,8 @@ def _by_rare_shingles(asked: DataFrame, rows: DataFrame, payload: DataFrame, nea
     lesser = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
     # shingles that no other set has come first in the order and meet nobody
     own = n - F.col("common")
-    sizes = known.groupBy("node").agg(F.count("*").alias("common")).join(payload, "node").join(asked, "node")
-    able = materialise(sizes.withColumns({"first": first - own, "lesser": lesser - own, "beyond": n - first}).where("first > 0"), "near-able")
+    both = known.groupBy("node").agg(F.count("*").alias("common")).join(sizes, "node").join(asked, "node")
+    able = materialise(both.withColumns({"first": first - own, "lesser": lesser - own, "beyond": n - first}).where("first > 0"), "near-able")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
     prefix = known.join(able.select("node", "first", "lesser"), "node").withColumn("place", place).where("place <= first")
     prefix = materialise(prefix.select("node", "h", (F.col("place") <= F.col("lesser")).alias("early")), "near-prefix")
@@ -166,7 +166,7 @@ def _by_rare_shingles(asked: DataFrame, rows: DataFrame, payload: DataFrame, nea
     needed = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent)) - F.greatest("x.beyond", "y.beyond")
     likely = bits(lambda w: F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}")))) + F.least("x.hidden", "y.hidden") >= needed
     enough = likely & (F.size(F.array_intersect("x.firsts", "y.firsts")) >= needed)
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & ordered & near("x", "y") & enough)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & ordered & enough)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -227,7 +227,7 @@ def near_duplicates(
     payload = nodes.select("node", "n", *s)
 
     def rest(asked: DataFrame) -> DataFrame:
-        return _by_rare_shingles(asked, rows, payload, near, width, percent, broadcast_rows)
+        return _by_rare_shingles(asked, rows, payload.select("node", "n"), width, percent, broadcast_rows)
 
     labels = linked_components(keys, payload, near, lambda pairs: _confirm(pairs, rows, width, percent, broadcast_rows), rest=rest, broadcast_rows=broadcast_rows)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -2,62 +2,81 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import narrow, text_chunks
 from marginalia.runtime import materialise, ship_package
 
-END = b"\0\0\0\0"
-
-
 class WordEncoder:
-    """Ids of a tokenizer that never joins across white space, as little-endian bytes, with bounded caches.
+    """Ids of a tokenizer that never joins across white space, with bounded caches.
 
-    A text's ids are those of its white-space separated words in a row, so each distinct word is
-    encoded once per worker. A word of ASCII letters and punctuation is cut further by ``PIECES``, the
-    fixed pre-tokenizer pattern, as pieces recur more than words do; any other word goes to the
-    tokenizer whole. Full caches take no more entries: later words are then encoded anew.
+    A text's ids are those of its white-space separated words in a row. Arrow splits the texts of a batch and numbers
+    their distinct words, so Python looks at each distinct word of a batch once and numpy puts the ids together. A word
+    of ASCII letters and punctuation that is new is cut further by ``PIECES``, the fixed pre-tokenizer pattern, as pieces recur
+    more than words do; any other word goes to the tokenizer whole. Caches that get full start anew.
     """
 
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
     PLAIN = re.compile(r"[!-;=-@\[-~\xdf-\xf6\xf8-\xff]+\Z")
 
-    def __init__(self, path: str, most_words: int = 400_000, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_words: int = 700_000, most_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
+        # the task has one core; the tokenizer's own threads would only wait for it
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.most_words, self.most_pieces = most_words, most_pieces
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = list(set().union(*split).difference(self.words))
-        cut = [self.PIECES.findall(s) if self.PLAIN.match(s) else [s] for s in (w.decode("utf-8", "replace") for w in missing)]
-        new = list({p for c in cut for p in c}.difference(self.pieces))
-        pieces = self.pieces
-        over = new[max(0, self.most_pieces - len(pieces)) :]
-        pieces.update(zip(new, self._ids(new), strict=True))
-        for w, c in zip(missing, cut, strict=True):
-            self.words[w] = pieces[c[0]] if len(c) == 1 else b"".join(map(pieces.__getitem__, c))
-        out = [b"".join(map(self.words.__getitem__, s)) for s in split]
-        for w in missing[max(0, self.most_words - (len(self.words) - len(missing))) :]:
-            del self.words[w]
-        for p in over:
-            del pieces[p]
-        return out
+        self.pieces: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.starts = bytearray(), array("q", [0, 0])
+
+    def _learn(self, words: list[str]) -> None:
+        cut = [self.PIECES.findall(w) if self.PLAIN.match(w) else [w] for w in words]
+        if len(self.pieces) > self.most_pieces:
+            self.pieces = {}
+        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.pieces.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+        piece = self.pieces.__getitem__
+        first = len(self.number)
+        for c in cut:
+            self.ids += piece(c[0]) if len(c) == 1 else b"".join(map(piece, c))
+            self.starts.append(len(self.ids) >> 2)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin, with the end of the last."""
+        lower = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.number) > self.most_words:
+            self._forget()
+        self._learn([w for w in words if w not in self.number])
+        starts, ids = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.ids, dtype=np.uint32)
+        number = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
+        begin = starts[number]
+        ends = np.concatenate([[0], np.cumsum(starts[number + 1] - begin)])
+        # the place of each id in the store: its own place, less that of its word's first id, plus the word's start there
+        at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], np.diff(ends))
+        out, bounds = ids[at], ends[split.offsets.to_numpy()]
+        del starts, ids
+        return out, bounds
 
 
 @lru_cache(maxsize=2)
@@ -75,13 +94,16 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for ids, texts in text_chunks(batches):
+        for ids, texts in text_chunks(batches, 8 << 20):
             out: list[tuple] = []
-            for i, b in zip(ids, enc.encode(texts), strict=True):
-                b += END
-                n = len(b) // 4
-                for k, start in enumerate(range(0, n, capacity)):
-                    out.append((i, k, start, min(capacity, n - start), zlib.crc32(memoryview(b)[4 * start : 4 * (start + capacity)])))
+            flat, bounds = enc.encode(texts)
+            flat = np.insert(flat, bounds[1:], 0).astype("<u4", copy=False)
+            bounds = (bounds + np.arange(len(bounds))).tolist()
+            view = memoryview(flat).cast("B")
+            for i, begin, end in zip(ids, bounds, bounds[1:], strict=False):
+                for k, at in enumerate(range(begin, end, capacity)):
+                    stop = min(at + capacity, end)
+                    out.append((i, k, at - begin, stop - at, zlib.crc32(view[4 * at : 4 * stop])))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
 
@@ -89,15 +111,19 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """``bound_of_counts`` of a list of sizes."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
     """The best bound on bins from two families of dual feasible functions, in whole numbers.
 
     A dual feasible function maps sizes to sizes so that no full bin gets over the capacity; hence
     the images' total, rounded up, bounds the bins. The first family drops sizes below e and lifts those
     over capacity - e to a whole bin; the second rounds (k + 1) * size down to whole bins, in k parts.
     """
-    if not len(lengths):
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     n, mass = np.cumsum(count), np.cumsum(count * size)
     e = np.arange(0, capacity // 2 + 1)
@@ -145,12 +171,13 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = 50_000, r
     its bin count is held against ``lower_bound``. A certified group keeps all bins but its emptiest;
     a group with a gap keeps only its full ones. What is left is exchanged: dealt anew among fewer groups
     and packed again, until a round saves no bin or ``rounds`` have passed. So the sequences in use beyond the
-    bound come down to those of the last exchange. Memory is that of one group; no bin crosses groups.
+    bound come down to those of the last exchange, which ``certificate`` tells. Memory is that of one group; no bin crosses groups.
 
     Every length must be from 1 to ``capacity``. Repeated rows are packed one by one, an empty table
     gives an empty result, and a null id is passed through.
     """
     spark = pieces.sparkSession
+    ship_package(spark)
     schema = PLACE.format(id=pieces.schema["id"].dataType.simpleString())
 
     def place(turn: int):
@@ -188,6 +215,15 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = 50_000, r
     return out.drop("settled") if done else spark.createDataFrame([], schema).drop("settled")
 
 
+def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """The sequences in use, and a lower bound on those of any packing. What comes to the driver is a count for each length."""
+    counts = packed.groupBy("length").count().collect()
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for r in counts:
+        count[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(count, capacity)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, **options) -> DataFrame:
     """One row per piece of a document: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.
 

@@ -45,8 +45,12 @@ def test_query_against_the_tokenizer(spark, small, texts):
 @given(st.lists(st.text(st.sampled_from("aAbÉéßİΣσς'sn2²½ \n\t\x0b\x1c\x85\xa0.,<|endoftext|>´́ 中ﬁ'tÀ×÷"), max_size=30), max_size=4))
 def test_encoder_is_the_tokenizer(texts):
     texts = [*texts, "<|endoftext|> I'LL won't <|ENDOFTEXT|>x"]
-    got = packing.WordEncoder(PATH, most_words=3, most_pieces=2).encode([t.encode() for t in texts])
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [REAL.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = packing.WordEncoder(PATH, most_words=3, most_pieces=2)
+    got = []
+    for part in (texts[:1], texts[1:]):
+        ids, bounds = enc.encode([t.encode() for t in part])
+        got += [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)]
+    assert got == [REAL.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=100, deadline=None)
@@ -78,7 +82,10 @@ def test_exchange_fills_the_gaps(spark):
     lengths = rng.integers(1, 2049, 3000)
     pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "id long, piece int, start long, length long, ids_crc32 long")
     apart = len(sequences(packing.pack(pieces, group_rows=150, rounds=1).collect()))
-    rows = packing.pack(pieces, group_rows=150).collect()
+    packed = packing.pack(pieces, group_rows=150)
+    rows = packed.collect()
+    used, bound = packing.certificate(packed)
+    assert used == len(sequences(rows)) and bound == packing.lower_bound(lengths, 2048) <= used
     assert len(rows) == 3000
     assert len(sequences(rows)) <= apart
 
