@@ -77,10 +77,26 @@ def phoc_bigrams(words: DataFrame, grams: DataFrame, *, levels: Sequence[int] =
 
 
 def nearest_word(labels: DataFrame, lex: DataFrame) -> DataFrame:
-    """label -> guess, distance: the lexicon word of least normalised edit distance, ties by word."""
-    met = labels.join(lex, F.abs(F.char_length("label") - F.char_length("word")) >= 0).withColumn("distance", F.round(normalised_levenshtein(F.col("label"), F.col("word")), 9))
-    best = met.groupBy("label").agg(F.min(F.struct("distance", "word")).alias("b"))
-    return best.select("label", F.col("b.word").alias("guess"), F.round("b.distance", 6).alias("distance"))
+    """label -> guess, distance: the lexicon word of least normalised edit distance, ties by word.
+
+    Words meet by their lengths, nearest first. A word that differs by k letters is at least k / longer away, so after the
+    lengths within one, a label asks only for those lengths that its best distance so far leaves open. Exact, and an equality join.
+    """
+    sizes = lex.select(F.char_length("word").alias("size")).distinct()
+    n = F.char_length("label")
+
+    def best(asked: DataFrame) -> DataFrame:
+        met = asked.join(lex.withColumn("size", F.char_length("word")), "size").withColumn("distance", F.round(normalised_levenshtein(F.col("label"), F.col("word")), 9))
+        return met.groupBy("label").agg(F.min(F.struct("distance", "word")).alias("b"))
+
+    labels = labels.select("label").distinct()
+    close = best(labels.select("label", F.explode(F.array(n - 1, n, n + 1)).alias("size")))
+    # a table of lengths has a row for each length there is
+    far = labels.join(close, "label", "left").join(F.broadcast(sizes), F.abs(n - F.col("size")) > 1)
+    least = F.abs(n - F.col("size")) / F.greatest(n, F.col("size"))
+    rest = best(far.where(F.col("b").isNull() | (F.round(least, 9) <= F.col("b.distance"))).select("label", "size"))
+    found = close.unionByName(rest).groupBy("label").agg(F.min("b").alias("b"))
+    return found.select("label", F.col("b.word").alias("guess"), F.round("b.distance", 6).alias("distance"))
 
 
 def class_ids(words: DataFrame, key: str, order: str) -> DataFrame:
@@ -112,7 +128,9 @@ def simulate_step(words: DataFrame, grams: DataFrame, lex: DataFrame, id_col: st
     apart = F.aggregate("hits", none, lambda done, h: F.when((F.size(done) == 0) | (h["at"] >= F.try_element_at(done, F.lit(-1))["at"] + F.char_length(F.try_element_at(done, F.lit(-1))["gram"])), F.concat(done, F.array(h))).otherwise(done))
     each = each.withColumn("n_letters", F.char_length("word")).withColumn("pattern", partial_pattern(apart, F.char_length("word"), pad))
     patterns = each.select("pattern", "n_letters").distinct()
-    fits = patterns.join(lex, (F.abs(F.char_length(lex["word"]) - F.col("n_letters")) <= 2 * pad * 10) & F.expr("regexp_like(word, pattern)"))
+    # padding lets a word be longer or shorter: each pattern asks for every length it may have
+    asked = patterns.withColumn("size", F.explode(F.sequence(F.col("n_letters") - 20 * pad, F.col("n_letters") + 20 * pad)))
+    fits = asked.join(lex.withColumn("size", F.char_length("word")), "size").where(F.expr("regexp_like(word, pattern)"))
     counted = fits.groupBy("pattern", "n_letters").agg(F.count("*").alias("n_candidates"))
     out = words.join(each.drop("word"), id_col, "left").join(counted, ["pattern", "n_letters"], "left")
     letters = F.char_length("word")
