@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import narrow, text_chunks
 from marginalia.runtime import ship_package
 
+#: The kinds of the base patterns, and all: secrets are found by the vote alone.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -26,12 +29,13 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 WIDE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE),
     "ip": re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[./_][0-9]{4}){3}|[0-9]{13,19})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[1-9][0-9 -]{8,16}[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}"),
 }
 #: A wide form can't be there without one of these in lower case, which are much faster to look for. ASCII letters of
 #: the wide forms match others only in case: none of a, t, d and o folds with a letter outside ASCII.
-HINTS = {"email": ("at)", "at]", "at}"), "ip": ("[.]", "(.)", "dot]", "dot)"), "card": None, "phone": None}
+HINTS = {"email": ("at)", "at]", "at}"), "ip": ("[.]", "(.)", "dot]", "dot)"), "card": None, "phone": None, "secret": None}
 
 #: Gazetteers and context words.
 TOP_LEVELS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn br in ru ch at be se no dk fi pl pt".split())
@@ -39,8 +43,14 @@ CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "3
 FOR = {
     "email": ("mail", "contact", "write", "reach", "courriel", "correo", "kontakt"), "ip": ("ip", "server", "host", "address", "adresse", "login"),
     "card": ("card", "visa", "mastercard", "credit", "debit", "carte", "tarjeta", "karte"), "phone": ("phone", "tel", "call", "mobile", "fax", "sms", "whatsapp", "telefon", "llama", "appelez"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "api", "key", "auth", "bearer", "credential"),
 }
+SECRET_PREFIXES = ("sk_", "pk_", "sk-", "ghp_", "gho_", "xoxb-", "xoxp-", "AKIA", "AIza", "eyJ")
 AGAINST = ("version", "isbn", "issn", "order", "invoice", "ref", "section", "chapter", "doi", "page", "serial", "part no", "v.")
+#: How much each labeler's vote weighs before anything is estimated: a check sum or an entropy tells more than a look.
+START = np.array([0.5, 2.0, 0.5, 1.0, 0.5])
+#: Bits of ``shape``.
+SHAPES = 6
 LABELERS = ("format", "validity", "gazetteer", "context", "boundary")
 
 
@@ -52,6 +62,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+HEX = frozenset("0123456789abcdefABCDEF")
+
+
+def entropy(span: str) -> float:
+    """Bits a character, by the span's own frequencies."""
+    counts = np.array(list(Counter(span).values())) / len(span)
+    return float(-(counts * np.log2(counts)).sum())
+
+
 def octets(parts: list[str]) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
 
@@ -108,6 +127,12 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     elif kind == "card":
         form = 1 if re.fullmatch(r"[0-9]{13,19}|[0-9]{4}(?:[ ./_-][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", span) else -1
         valid, known = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1, 1 if digits.startswith(CARD_PREFIXES) else -1
+    elif kind == "secret":
+        digital = set(span) <= HEX
+        mixed = any(c.isdigit() for c in span) and any(c.isupper() for c in span) and any(c.islower() for c in span)
+        form = 1 if (digital and len(span) >= 32) or mixed else -1
+        valid = 1 if form == 1 and entropy(span) >= 3 else -1
+        known = 1 if (digital and len(span) in (32, 40, 64)) or span.startswith(SECRET_PREFIXES) else -1
     else:
         form = 1 if span[0] == "+" or re.fullmatch(r"\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}", span) else -1
         valid = 1 if 9 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
@@ -118,9 +143,14 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def shape(text: str, start: int, end: int) -> int:
-    """A span's coarse form, one of 8: whether it has a separator, a bracket, or is long."""
+    """A span's coarse form, which no labeler looks at: whether it has a separator or a bracket, is long, has letters, is mostly
+    digits, and stands at the start of its line."""
     span = text[start:end]
-    return (" " in span or "-" in span) + 2 * any(c in span for c in "([{+") + 4 * (end - start > 20)
+    bits = (" " in span or "-" in span, any(c in span for c in "([{+"), end - start > 20, any(c.isalpha() for c in span), 2 * sum(c.isdigit() for c in span) > end - start, start == 0 or text[start - 1] == "\n")
+    return sum(b << i for i, b in enumerate(bits))
+
+
+WIDTH = len(ALL_KINDS) + 2 * len(LABELERS) + SHAPES
 
 
 @dataclass(frozen=True)
@@ -135,12 +165,12 @@ class SpanModel:
 
 
 def features(kind: str, vote: tuple[int, ...], form: int) -> np.ndarray:
-    x = np.zeros(len(KINDS) + 2 * len(LABELERS) + 3)
-    x[KINDS.index(kind)] = 1
+    x = np.zeros(WIDTH)
+    x[ALL_KINDS.index(kind)] = 1
     for i, v in enumerate(vote):
-        x[len(KINDS) + 2 * i] = v == 1
-        x[len(KINDS) + 2 * i + 1] = v == -1
-    x[-3:] = form & 1, form >> 1 & 1, form >> 2 & 1
+        x[len(ALL_KINDS) + 2 * i] = v == 1
+        x[len(ALL_KINDS) + 2 * i + 1] = v == -1
+    x[-SHAPES:] = [form >> i & 1 for i in range(SHAPES)]
     return x
 
 
@@ -148,15 +178,15 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int, int]], *, rounds: int =
     """From (kind, votes, shape, count) rows: EM for each labeler's reliability, then logistic regression.
 
     The hidden label of a span is personal data or not. EM alternates between its posterior, with labelers
-    independent given it, and the share of each vote under either label, by kind, starting from a majority vote. The
+    independent given it, and the share of each vote under either label, by kind, starting from a vote weighed by ``START``. The
     classifier then learns the posteriors, so that it also weighs shapes, which no labeler looks at.
     """
     if not patterns:
-        return SpanModel(np.zeros(len(KINDS) + 2 * len(LABELERS) + 3) - 9, bar)
+        return SpanModel(np.zeros(WIDTH) - 9, bar)
     vote = np.array([p[1] for p in patterns])
     count = np.array([p[3] for p in patterns], dtype=float)
-    kind = np.array([KINDS.index(p[0]) for p in patterns])
-    good = 1 / (1 + np.exp(-1.5 * vote.sum(1)))
+    kind = np.array([ALL_KINDS.index(p[0]) for p in patterns])
+    good = 1 / (1 + np.exp(-1.5 * vote @ START))
     for _ in range(rounds):
         logit = np.zeros(len(patterns))
         for k in np.unique(kind):
@@ -184,14 +214,15 @@ def _decoded(texts: list[bytes]) -> list[str]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> SpanModel:
     """The model over all candidates of all texts. What reaches the driver is the number of candidates by
-    kind, votes and shape: at most 4 * 3**5 * 8 rows, whatever the corpus."""
+    kind, votes and shape: at most 5 * 3**5 * 64 rows, whatever the corpus."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for _, texts in text_chunks(batches):
             for t in _decoded(texts):
-                found = [(k, s, e) for k, spans in base_spans(t).items() for s, e in spans] + wide_spans(t)
+                found = [(k, s, e) for k, spans in base_spans(t).items() for s, e in spans]
+                found += [w for w in wide_spans(t) if all(w[2] <= s or e <= w[1] for _, s, e in found)]
                 for k, s, e in found:
                     key = (k, *votes(t, k, s, e), shape(t, s, e))
                     seen[key] = seen.get(key, 0) + 1
@@ -240,8 +271,8 @@ def find_spans(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_c
 
 
 def spans_text(spans):
-    """kind:start:end of every span, by kind as listed and start, joined by commas."""
-    order = F.array(*map(F.lit, KINDS))
+    """kind:start:end of every span, by kind as in ``ALL_KINDS`` and start, joined by commas."""
+    order = F.array(*map(F.lit, ALL_KINDS))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
