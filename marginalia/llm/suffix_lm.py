@@ -82,7 +82,7 @@ def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None,
 
     Without ``candidates``: counts by segment of the n-grams that reach ``share`` of their segment's tokens.
     Whatever reaches the share of all tokens does so in some segment, so none is missed. With them
-    (sorted keys): the exact counts of those, added up by task; an empty array stands for all n-grams.
+    (sorted keys): the exact counts of those, added up by task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +102,9 @@ def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None,
             if texts:
                 _, symbols, last = _symbols(texts, table)
                 keys = ngram_keys(symbols, last, n)
-                if len(sums):
+                if wanted is not None:
                     at, there = _find(wanted, keys, np.ones(len(keys), dtype=bool))
-                    sums += np.bincount(at[there], minlength=len(sums))
+                    sums += np.bincount(at[there], minlength=len(sums))[: len(sums)]
                     continue
                 parts.append(keys)
                 size += len(symbols)
@@ -216,17 +216,21 @@ def grow(known: dict[bytes, int], counts: np.ndarray, total: int, distinct: int,
     return SuffixTree(known, counts, total, distinct, states, rest, moves, gain)
 
 
-def train(rows: DataFrame, *, known_share: float = 2e-6, state_share: float = 1e-5, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame]:
+def train(rows: DataFrame, *, root: float = 0.006, known_share: float | None = None, state_share: float | None = None, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame]:
     """The tree over (id, text), and the table word, c of all training words.
 
-    A word is known to the tree from ``known_share`` of all tokens on, and an n-gram from ``state_share`` on. As
-    shares add up to one, there are at most 1 / known_share known words and 1 / state_share n-grams of a length:
-    the tree's size is bounded whatever the corpus, which is why it may be broadcast. Counts are over all
+    An n-gram is asked about from ``root`` times the square root of all tokens on, three at least, and a word is known
+    to the tree from a fifth of that on. So what the tree holds grows with the corpus, and yet it may be broadcast: there are at most
+    sqrt(tokens) / ``root`` n-grams of a length and five times as many words. Shares of all tokens may be given instead. Counts are over all
     training texts. N-grams are found in two passes, by segment and then exactly.
     """
     spark = rows.sparkSession
+    ship_package(spark)
     vocabulary = materialise(word_counts(rows), "lm-words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    least = max(3.0, root * float(total or 0) ** 0.5)
+    state_share = state_share or least / max(total, 1)
+    known_share = known_share or state_share / 5
     often = vocabulary.where(F.col("c") >= known_share * total).orderBy(F.desc("c"), "word").collect() if total else []
     known = {bytes(r.word): i for i, r in enumerate(often, 1)}
     counts = np.array([0, *(r.c for r in often)], dtype=np.int64)
@@ -237,12 +241,14 @@ def train(rows: DataFrame, *, known_share: float = 2e-6, state_share: float = 1e
     ngrams = {}
     for n in range(2, depth + 2):
         local = materialise(ngram_counts(rows, frequent, n, state_share), "lm-local")
-        few = local.count() <= 8 / state_share
-        chosen = np.sort(local.select("key").toPandas()["key"].to_numpy(dtype=np.int64)) if few else np.zeros(0, dtype=np.int64)
-        if few and not len(chosen):
-            ngrams[n] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            continue
-        exact = ngram_counts(rows, frequent, n, state_share, spark.sparkContext.broadcast(chosen))
+        candidates = materialise(local.select("key").distinct(), "lm-candidates")
+        few = candidates.count() <= 8 / state_share
+        if few:
+            chosen = np.sort(candidates.toPandas()["key"].to_numpy(dtype=np.int64))
+            exact = ngram_counts(rows, frequent, n, state_share, spark.sparkContext.broadcast(chosen))
+        else:
+            # more than may be sent to every task: all n-grams are counted, and the candidates' rows kept
+            exact = ngram_counts(rows, frequent, n, 0.0).join(candidates, "key", "left_semi")
         ngrams[n] = arrays(exact.where(F.col("c") >= state_share * total))
     return grow(known, counts, total, distinct, ngrams, least_gain=least_gain, discount=discount), vocabulary
 
