@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.runtime import ship_package
+
 
 def decode_pnm(data: bytes) -> np.ndarray:
     """A grey image from plain or raw PGM or PPM bytes."""
@@ -108,6 +110,7 @@ def resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """path, content after ``f`` on each decoded image."""
+    ship_package(images.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -118,6 +121,7 @@ def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> Data
 
 def describe_images(images: DataFrame) -> DataFrame:
     """path, width, height, threshold, ink, n_components, slant of each image."""
+    ship_package(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import dot, doubles
+from marginalia.runtime import ship_package
 
 
 def with_vector(rows: DataFrame, column: str, name: str = "features") -> DataFrame:
@@ -67,6 +68,7 @@ def platt(scored: DataFrame, score: str, label: str) -> tuple[float, float]:
 
 def gramian(rows: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """X'X, X'Y, Y'Y, the columns' sums and the number of rows; each task adds its own up, and d * d numbers a task come back."""
+    ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, sums, n = None, None, 0
@@ -101,6 +103,7 @@ def cca(rows: DataFrame, x: str, y: str, k: int, reg: float = 1e-4) -> tuple[np.
 
 def random_features(rows: DataFrame, column: str, m: int, gamma: float = 1.0, seed: int = 1) -> DataFrame:
     """The rows with fourier: cos and sin of m fixed random projections, over the square root of m."""
+    ship_package(rows.sparkSession)
     d = rows.select(F.size(column)).first()[0]
     w = np.random.default_rng(seed).normal(0, np.sqrt(2 * gamma), (d, m))
 
@@ -123,6 +126,7 @@ def lsh_neighbours(rows: DataFrame, queries: DataFrame, id_col: str, column: str
 def self_organising_map(rows: DataFrame, column: str, side: int, *, epochs: int = 8, seed: int = 1) -> np.ndarray:
     """side * side nodes by batch training: every epoch each row votes for its nearest node, and nodes move to the votes'
     mean weighed by a neighbourhood that shrinks as exp(-10 (t / epochs) ** 2). Only sums by node come to the driver."""
+    ship_package(rows.sparkSession)
     d = rows.select(F.size(column)).first()[0]
     nodes = np.random.default_rng(seed).normal(0, 0.1, (side * side, d))
     place = np.stack(np.divmod(np.arange(side * side), side), axis=1)
@@ -158,6 +162,7 @@ def viterbi(sequences: DataFrame, by: str, order: str, symbol: str, start: np.nd
 
 
 def _viterbi(grouped: DataFrame, by: str, ls: np.ndarray, lm: np.ndarray, le: np.ndarray) -> DataFrame:
+    ship_package(grouped.sparkSession)
     def best(seq: np.ndarray) -> tuple[list[int], float]:
         score, back = ls + le[:, seq[0]], []
         for o in seq[1:]:

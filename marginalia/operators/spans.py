@@ -111,15 +111,18 @@ def merged_hits(hits: DataFrame, by: str, least: float = 0.55) -> DataFrame:
 def smallest_interval(mass: DataFrame, by: str, at: str, weight: str, share: float) -> DataFrame:
     """``by``, lo, hi: the shortest stretch of places whose weight is over ``share`` of all, the first of equals.
 
-    For every start the end is the first place where the cumulative weight is enough; cumulative sums only rise, so the
-    ends are looked up in the sorted array of sums.
+    For every start the end is the first place where the cumulative weight is over what the start needs. Cumulative sums only
+    rise, so starts and ends are put in one order, by need and by sum, and each start takes the next end. Weights are not negative.
     """
     w = Window.partitionBy(by).orderBy(at)
     sums = mass.groupBy(by, at).agg(F.sum(weight).alias("m"))
     sums = sums.withColumn("upto", F.sum("m").over(w)).withColumn("all", F.sum("m").over(Window.partitionBy(by)))
-    starts = sums.select(by, F.col(at).alias("lo"), F.round(F.col("upto") - F.col("m") + share * F.col("all"), 6).alias("need"))
-    ends = sums.select(by, F.col(at).alias("hi"), F.round("upto", 6).alias("upto"))
-    met = starts.join(ends, by).where("upto > need AND hi >= lo")
+    sides = F.explode(F.array(
+        F.struct(F.round("upto", 6).alias("value"), F.lit(0).alias("kind"), F.lit(None).cast(sums.schema[at].dataType).alias("lo"), F.col(at).alias("hi")),
+        F.struct(F.round(F.col("upto") - F.col("m") + share * F.col("all"), 6).alias("value"), F.lit(1).alias("kind"), F.col(at).alias("lo"), F.lit(None).cast(sums.schema[at].dataType).alias("hi")),
+    ))
+    order = Window.partitionBy(by).orderBy("value", "kind", F.coalesce("hi", "lo")).rowsBetween(0, Window.unboundedFollowing)
+    met = sums.select(by, sides.alias("s")).select(by, "s.*").withColumn("hi", F.first("hi", ignorenulls=True).over(order)).where("lo IS NOT NULL AND hi IS NOT NULL")
     best = met.groupBy(by).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("d"), "lo", "hi")).alias("b"))
     return best.select(by, "b.lo", "b.hi")
 
@@ -128,9 +131,3 @@ def folds(rows: DataFrame, by: str, order: str, k: int, turn: int) -> DataFrame:
     """The rows with fold: ``ntile`` within each ``by``, shifted by ``turn``; fold 0 is the test part."""
     part = F.ntile(k).over(Window.partitionBy(by).orderBy(F.md5(F.col(order).cast("string")), order)) - 1
     return rows.withColumn("fold", ((part + turn) % k).cast("int"))
-
-
-def by_size(rows: DataFrame, order: str, size: str, target: float) -> DataFrame:
-    """The rows with node: in order, a new node begins when the accumulated size passes a multiple of ``target``."""
-    before = F.coalesce(F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("node", F.floor(F.round(before, 4) / target).cast("long"))

@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (unit tests, a laptop) is a temporary folder made, and it
-    is removed when the process ends.
+    Only where the setting is absent and the master is local (unit tests, a laptop) is a temporary folder made, and it
+    is removed when the process ends. A cluster without the setting gets an error: its executors share no such folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(scratch_dir, "own", None):
         scratch_dir.own = tempfile.mkdtemp(prefix="marginalia-")
         atexit.register(shutil.rmtree, scratch_dir.own, ignore_errors=True)
