@@ -19,7 +19,7 @@ def clean_words(text: Column) -> Column:
     kept = F.regexp_replace(spaced, r"[^A-Za-z0-9_\s&()]", "")
     padded = F.regexp_replace(kept, r"([()])", " $1 ")
     flat = F.trim(F.regexp_replace(padded, r"\s+", " "))
-    return F.filter(F.split(F.lower(flat), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(flat), " "), "")
 
 
 def bare_word(word: Column) -> Column:

@@ -41,6 +41,13 @@ def postings(words: DataFrame, grams: DataFrame, n: int, id_col: str) -> DataFra
     return each.join(grams.select("ngram"), "ngram").select("ngram", id_col)
 
 
+def document_postings(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """ngram, id of each document with a cleaned word that contains the n-gram. No n-gram has a space, so it is looked for in the
+    cleaned words in a row: the few n-grams, a stated query set, go to the texts and no word is cut."""
+    flat = docs.select(F.col(id_col), F.explode(F.array(F.array_join(clean_words(F.col(text_col)), " "))).alias("flat"))
+    return flat.join(F.broadcast(grams.select("ngram")), F.col("flat").contains(F.col("ngram"))).select("ngram", id_col)
+
+
 def first_k(posts: DataFrame, k: int, id_col: str) -> DataFrame:
     """ngram, rank, id of the first k ids of each n-gram."""
     w = Window.partitionBy("ngram").orderBy(id_col)

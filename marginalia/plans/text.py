@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import length_code, normalised_levenshtein
+from marginalia.functions.text import clean_words, length_code, normalised_levenshtein
 from marginalia.operators import stats, text_ops
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import BENCH_WORDS
@@ -36,7 +36,8 @@ def names(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT word) AS n_distinct, max(len(word)) AS longest FROM tok GROUP BY doc_id")
 def t01_tokens(spark, sf_dir):
-    return words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("word").alias("n_distinct"), F.max(F.char_length("word")).cast("long").alias("longest"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(clean_words(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.array_max(F.transform("w", F.char_length)).cast("long").alias("longest"))
 
 
 @query(f"WITH {TOKENS}, {BENCH_WORDS} SELECT count(*) AS n, count(lex.word) AS n_in, count(*) - count(lex.word) AS n_out, round(100.0::DOUBLE * (count(*) - count(lex.word)) / count(*), 6) AS percent_out FROM tok LEFT JOIN lex USING (word)")
@@ -49,13 +50,13 @@ POSTS = f"{TOKENS}, {GRAMS}, w AS (SELECT DISTINCT doc_id, word FROM tok), posts
 
 @query(f"WITH {POSTS} SELECT ngram, count(*) AS n_docs, CAST(min(doc_id) AS BIGINT) AS first_doc FROM posts GROUP BY ngram")
 def t03_ngram_postings(spark, sf_dir):
-    posts = text_ops.postings(words(spark, sf_dir), grams(spark, sf_dir), 2, "doc_id").distinct()
+    posts = text_ops.document_postings(table(spark, sf_dir, "documents"), grams(spark, sf_dir), "doc_id", "text")
     return posts.groupBy("ngram").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"WITH {POSTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ngram ORDER BY doc_id) AS rank FROM posts) SELECT ngram, rank, doc_id FROM k WHERE rank <= 5")
 def t04_ngram_first_k(spark, sf_dir):
-    return text_ops.first_k(text_ops.postings(words(spark, sf_dir), grams(spark, sf_dir), 2, "doc_id").distinct(), 5, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    return text_ops.first_k(text_ops.document_postings(table(spark, sf_dir, "documents"), grams(spark, sf_dir), "doc_id", "text"), 5, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {BENCH_WORDS}, {NAMES} SELECT word FROM lex UNION SELECT word FROM names")
@@ -151,6 +152,12 @@ def t15_progress_buckets(spark, sf_dir):
     return text_ops.progress_buckets(_step(spark, sf_dir))
 
 
+@query(f"WITH s AS ({STEP}) SELECT CAST(count(*) FILTER (WHERE spotted_share < 0.2) AS BIGINT) AS b0, CAST(count(*) FILTER (WHERE spotted_share >= 0.2 AND spotted_share < 0.4) AS BIGINT) AS b1, CAST(count(*) FILTER (WHERE spotted_share >= 0.4 AND spotted_share < 0.6) AS BIGINT) AS b2, CAST(count(*) FILTER (WHERE spotted_share >= 0.6 AND spotted_share < 0.8) AS BIGINT) AS b3, CAST(count(*) FILTER (WHERE spotted_share >= 0.8) AS BIGINT) AS b4 FROM s")
+def t19_spotted_buckets(spark, sf_dir):
+    """The progress buckets alone, without the candidates."""
+    return text_ops.progress_buckets(_step(spark, sf_dir).withColumn("transcribed", F.lit(False))).drop("n_transcribed")
+
+
 @query(f"WITH {TOKENS}, f AS (SELECT word, min(doc_id * 1000000 + pos) AS first, count(*) AS n FROM tok GROUP BY word) SELECT word, first, n, row_number() OVER (ORDER BY first, word) AS class_id FROM f")
 def t16_class_ids(spark, sf_dir):
     out = text_ops.class_ids(words(spark, sf_dir).select("word", (F.col("doc_id") * 1000000 + F.col("at")).alias("o")), "word", "o")
