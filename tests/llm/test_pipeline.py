@@ -24,3 +24,19 @@ def test_stages_follow_their_operators(spark, small):
         if name == "mix_sources":
             assert sizes[-1] == sum(r.copies for r in mixing.mix(before).collect())
     assert corpus_pipeline.run(spark, small).count() == sizes[-1] > 0
+
+
+def test_awkward_tables_run_through_all_stages(spark, small, awkward, nothing):
+    """Nulls, repeats and clashing columns; the stages are run one after another on what the one before kept."""
+    from pyspark.sql import functions as F
+
+    for docs in (awkward, nothing):
+        docs = docs.withColumns({"n_lines": F.lit(1), "N_Removed": F.lit("x"), "__gone": F.lit(2), "copies": F.lit(3), "n_chars": F.length("text")})
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            docs = stage(spark, docs, small)
+            if name != "pack":
+                assert docs.columns == columns
+                docs = spark.createDataFrame(docs.collect(), docs.schema)
+        docs.collect()
+    assert corpus_pipeline.quality_rules(spark, awkward, small).columns == awkward.columns
