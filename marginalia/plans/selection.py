@@ -207,3 +207,46 @@ def p26_recognition(spark, sf_dir):
     right = F.col("guess") == F.col("truth")
     error = F.when(right, 0.0).otherwise(F.levenshtein("guess", "truth") / F.greatest(F.char_length("guess"), F.char_length("truth")))
     return read.agg(F.count("*").alias("n"), F.round(F.avg(right.cast("int")), 6).alias("accuracy"), F.round(F.avg(error), 6).alias("cer"))
+
+
+@query(f"WITH {RANKED}, s AS (SELECT relevant, avg(score) AS m, stddev_pop(score) AS sd FROM r GROUP BY relevant) SELECT relevant, round(m, 6) AS mean, round(sd, 6) AS sd FROM s")
+def p27_two_score_sets(spark, sf_dir):
+    """Mean and population deviation of the scores of right and of wrong items."""
+    return by_example(spark, sf_dir).groupBy("relevant").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"))
+
+
+@query(f"WITH {LINES}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id AS item, round(CASE WHEN n > 0 THEN e[1] / n ELSE 0 END, 6) AS x1, round(n, 6) AS energy FROM n")
+def p28_energy_normalised(spark, sf_dir):
+    e = F.transform("v", lambda x: x.cast("double"))
+    n = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
+    rows = items(spark, sf_dir).select("item", F.get("v", F.lit(0)).cast("double").alias("first"), n.alias("n"))
+    return rows.select("item", F.round(F.when(F.col("n") > 0, F.col("first") / F.col("n")).otherwise(0.0), 6).alias("x1"), F.round("n", 6).alias("energy"))
+
+
+@query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS first, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS past FROM documents")
+def p29_offsets(spark, sf_dir):
+    """Where each document begins and ends if those of a source are laid end to end."""
+    from pyspark.sql import Window
+
+    past = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("source", "doc_id", (past - F.col("n_chars")).cast("long").alias("first"), past.cast("long").alias("past"))
+
+
+@query(f"WITH {PLACED} SELECT query, place, item, score FROM placed WHERE place <= 5")
+def p30_top_five(spark, sf_dir):
+    return ranking._placed(by_example(spark, sf_dir), ("query",)).where("place <= 5").select("query", F.col("place").cast("long").alias("place"), "item", "score")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS e1, 10.0::DOUBLE AS s2, 10.0::DOUBLE + l_quantity AS e2, l_quantity::DOUBLE / 2 AS s1 FROM lineitem),
+    o AS (SELECT *, greatest(least(e1, e2) - greatest(s1, s2), 0.0) AS inter, greatest(e1, e2) - least(s1, s2) AS span FROM b),
+    u AS (SELECT *, inter / span AS iou, inter / least(e1 - s1, e2 - s2) AS loose FROM o)
+    SELECT l_orderkey, l_linenumber, round(iou, 6) AS iou, round(loose, 6) AS loose, round(iou + loose, 6) AS both, round(CASE WHEN iou + loose > 0 THEN 2 * iou * loose / (iou + loose) ELSE 0 END, 6) AS harmonic, coalesce(CASE WHEN iou + loose > 0 THEN 2 * iou * loose / (iou + loose) END, 0) >= 0.8 AS success FROM u""")
+def p31_overlaps(spark, sf_dir):
+    """Overlap over span, over the shorter one, their sum and harmonic mean, and whether that makes a success."""
+    q = F.col("l_quantity").cast("double")
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (q / 2).alias("s1"), (q * 2).alias("e1"), F.lit(10.0).alias("s2"), (q + 10.0).alias("e2"))
+    inter = F.greatest(F.least("e1", "e2") - F.greatest("s1", "s2"), F.lit(0.0))
+    u = b.select("l_orderkey", "l_linenumber", (inter / (F.greatest("e1", "e2") - F.least("s1", "s2"))).alias("iou"), (inter / F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"))).alias("loose"))
+    total = F.col("iou") + F.col("loose")
+    harmonic = F.when(total > 0, 2 * F.col("iou") * F.col("loose") / total).otherwise(0.0)
+    return u.select("l_orderkey", "l_linenumber", F.round("iou", 6).alias("iou"), F.round("loose", 6).alias("loose"), F.round(total, 6).alias("both"), F.round(harmonic, 6).alias("harmonic"), (harmonic >= 0.8).alias("success"))
