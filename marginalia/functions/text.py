@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PHOC_LEVELS = (2, 3, 4, 5)
 PHOC_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 PHOC_BIGRAM_LEVELS = (2,)
+#: The bigrams of the position histogram's bigram part.
+PHOC_BIGRAMS = "er in es ti te at on an en st al re is ed le ra ri li ar ng ne ic or nt ss ro la se de co ca ta io it si us ea ac el ma na ni tr ch di ia et to un ns".split()
 #: Fixed value: the share of a unit that must lie in a region for a hard count.
 HARD_SHARE, BIGRAM_SHARE = 0.49, 0.48
 

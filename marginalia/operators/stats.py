@@ -40,6 +40,19 @@ def otsu(hist: DataFrame, *, last: bool = True) -> DataFrame:
     return s.agg(F.max_by("bin", order).alias("threshold"), F.max("between").alias("between"))
 
 
+def otsu_span(hist: DataFrame) -> DataFrame:
+    """first, last, middle: the first and last bins of the largest variance between classes whose means are cut to whole bins,
+    and the place half-way."""
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy()
+    s = hist.withColumn("w0", F.sum("n").over(up)).withColumn("m0", F.sum(F.col("n") * F.col("bin")).over(up))
+    s = s.withColumn("w", F.sum("n").over(everything)).withColumn("m", F.sum(F.col("n") * F.col("bin")).over(everything)).where("w0 < w")
+    gap = F.floor(F.col("m0") / F.col("w0")) - F.floor((F.col("m") - F.col("m0")) / (F.col("w") - F.col("w0")))
+    s = s.withColumn("between", F.round(F.col("w0").cast("double") / F.col("w") * (F.col("w") - F.col("w0")) / F.col("w") * gap * gap, 6))
+    ends = s.agg(F.min_by("bin", F.struct(-F.col("between"), F.col("bin"))).alias("first"), F.max_by("bin", F.struct("between", "bin")).alias("last"))
+    return ends.select("first", "last", ((F.col("first") + F.col("last")) / 2.0).alias("middle"))
+
+
 def scaled(rows: DataFrame, keys: tuple[str, ...], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """keys, scaled (min-max into [low, high]), z (n - 1 in the deviation) and squashed, the logistic of z;
     null where all values are equal."""

@@ -44,6 +44,13 @@ def s04_otsu(spark, sf_dir):
     return stats.otsu(stats.histogram(events(spark, sf_dir), "value", 256))
 
 
+@query(f"""WITH {HIST.format(n=4999)}, c AS (SELECT bin, sum(n) OVER w AS w0, sum(n * bin) OVER w AS m0, sum(n) OVER () AS w, sum(n * bin) OVER () AS m FROM h WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    b AS (SELECT bin, round(w0::DOUBLE / w * (w - w0) / w * (floor(m0 / w0) - floor((m - m0) / (w - w0))) * (floor(m0 / w0) - floor((m - m0) / (w - w0))), 6) AS between_ FROM c WHERE w0 < w), t AS (SELECT bin FROM b WHERE between_ = (SELECT max(between_) FROM b))
+    SELECT min(bin) AS "first", max(bin) AS "last", (min(bin) + max(bin)) / 2 AS middle FROM t""")
+def s14_otsu_span(spark, sf_dir):
+    return stats.otsu_span(stats.histogram(events(spark, sf_dir), "value", 5000))
+
+
 @query("""WITH s AS (SELECT min(value) AS a, max(value) AS b, avg(value) AS m, stddev_samp(value) AS d FROM events)
     SELECT event_id, round(0.1 + (0.9 - 0.1) * (value - a) / (b - a), 6) AS scaled, round((value - m) / d, 6) AS z, round(1 / (1 + exp(-(value - m) / d)), 6) AS squashed FROM events CROSS JOIN s""")
 def s05_scaled(spark, sf_dir):

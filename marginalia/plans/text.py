@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import clean_words, length_code, normalised_levenshtein
+from marginalia.functions.text import PHOC_BIGRAMS, clean_words, length_code, normalised_levenshtein
 from marginalia.operators import stats, text_ops
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import BENCH_WORDS
@@ -91,6 +91,13 @@ def t08_phoc_bigrams(spark, sf_dir):
     return text_ops.phoc_bigrams(names(spark, sf_dir), grams(spark, sf_dir))
 
 
+@query(_bigrams("[2]", 0.48).replace(GRAMS, f"grams AS (SELECT unnest({PHOC_BIGRAMS}) AS ngram)"))
+def t20_phoc_vocabulary(spark, sf_dir):
+    """The bigram part over its own fixed vocabulary."""
+    fixed = spark.createDataFrame([(g,) for g in PHOC_BIGRAMS], "ngram string")
+    return text_ops.phoc_bigrams(names(spark, sf_dir), fixed)
+
+
 @query(_bigrams("[2, 3, 4, 5]", 0.49))
 def t09_phob(spark, sf_dir):
     return text_ops.phoc_bigrams(names(spark, sf_dir), grams(spark, sf_dir), levels=(2, 3, 4, 5), least=0.49)
