@@ -216,7 +216,7 @@ def grow(known: dict[bytes, int], counts: np.ndarray, total: int, distinct: int,
     return SuffixTree(known, counts, total, distinct, states, rest, moves, gain)
 
 
-def train(rows: DataFrame, *, root: float = 0.006, known_share: float | None = None, state_share: float | None = None, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame]:
+def train(rows: DataFrame, *, root: float = 0.02, known_share: float | None = None, state_share: float | None = None, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame]:
     """The tree over (id, text), and the table word, c of all training words.
 
     An n-gram is asked about from ``root`` times the square root of all tokens on, three at least, and a word is known
