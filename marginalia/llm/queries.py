@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, suffix_dedup, suffix_lm, url_filter
+from marginalia.llm import discriminant, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, packing, pii, quality, search, suffix_dedup, suffix_lm, url_filter
 from marginalia.llm.common import UPPER
 from marginalia.runtime import table
 
@@ -69,8 +69,22 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_suffix_array_dedup, op2_url_filter, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_quality_rules, op8_mix_sources, op9_pii, op10_suffix_tree_lm)
+    own = (op1_suffix_array_dedup, op2_url_filter, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_quality_rules, op8_mix_sources, op9_pii, op10_suffix_tree_lm, op11_fill_in_middle, op12_quality_classifier, op13_ranked_search)
     return {f.__name__: f for f in own}
 
 
@@ -101,4 +115,30 @@ def oracle_sql() -> dict[str, str]:
                 FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
             )
             SELECT doc_id, size, source_size, target, CAST((floor((nth + 1) * rate + start) - floor(nth * rate + start)) * size AS BIGINT) AS taken FROM ranked""",
+        "op11_fill_in_middle": r"""
+            WITH cut AS (
+                SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents
+            ), drawn AS (
+                SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut
+            ), placed AS (
+                SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+            ), parted AS (
+                SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed
+            )
+            SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parted""",
+        "op13_ranked_search": rf"""
+            WITH found AS (
+                SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+            ), counted AS (SELECT r, doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+            sized AS (SELECT r, sum(tf)::BIGINT AS n FROM counted GROUP BY r),
+            totals AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM sized),
+            wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            weighed AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, totals GROUP BY term, nn),
+            scored AS (
+                SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))))::BIGINT AS score
+                FROM wanted JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (r), totals GROUP BY item_id, doc_id, r
+            ), placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM scored WHERE score > 0)
+            SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 10""",
     }
