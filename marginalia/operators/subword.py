@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import interval_iou
-from marginalia.operators.ranking import mid_tie_ap
+from marginalia.operators.ranking import mid_tie_ap_by_ranges
+from marginalia.operators.tables import running_before
+from marginalia.runtime import materialise, small
 
 CHAR = 10
 #: A window that overlaps an occurrence by more than this is a hit.
@@ -39,10 +41,11 @@ def best_two(results: DataFrame, apart: int) -> DataFrame:
 
 
 def best_share(results: DataFrame, share: float) -> DataFrame:
-    """The best ``share`` of each query's results, rounded down; ties by item and window."""
-    each = Window.partitionBy("query")
-    ranked = results.withColumn("place", F.row_number().over(each.orderBy("score", "item", "r"))).withColumn("n", F.count("*").over(each))
-    return ranked.where(F.col("place") <= F.floor(F.col("n") * share)).drop("place", "n")
+    """The best ``share`` of each query's results, rounded down; ties by item and window. Places come from a range sort, as a
+    query may hold all rows."""
+    total = results.groupBy("query").agg(F.floor(F.count("*") * share).alias("most"))
+    placed = running_before(results.withColumn("one", F.lit(1)), ("query",), ("score", "item", "r"), ("one",))
+    return placed.join(small(total), "query").where(F.col("one_before") < F.col("most")).select(*results.columns)
 
 
 def _bounds(place: Column, length: Column) -> tuple[Column, Column]:
@@ -52,13 +55,14 @@ def _bounds(place: Column, length: Column) -> tuple[Column, Column]:
 def _with_misses(results: DataFrame, scored: DataFrame, words: DataFrame, twice: bool) -> DataFrame:
     """``scored`` (query, item, score, relevant, claims) and a relevant row at the query's worst score for each occurrence that no
     result claimed: of every word with the n-gram the first, and with ``twice`` the second too."""
-    worst = results.groupBy("query").agg(F.max("score").alias("worst"))
+    scored = materialise(scored, "judged")
+    worst = small(materialise(results.groupBy("query").agg(F.max("score").alias("worst")), "worst"))
     claims = scored.groupBy("query", "item").agg(F.sum("claims").alias("claims"))
-    holders = words.join(F.broadcast(worst)).where(F.expr("instr(label, query) > 0"))
+    holders = words.join(worst).where(F.expr("instr(label, query) > 0"))
     occurs = F.when(F.expr("locate(query, label, instr(label, query) + 1) > 0"), 2).otherwise(1) if twice else F.lit(1)
     missed = holders.join(claims, ["query", "item"], "left").withColumn("lacking", occurs - F.coalesce("claims", F.lit(0))).where("lacking > 0")
     rows = missed.select("query", "item", F.col("worst").alias("score"), F.lit(True).alias("relevant"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("lacking").cast("long")))).drop("col")
-    dummies = scored.where("dummy").join(F.broadcast(worst), "query").select("query", "item", F.col("worst").alias("score"), F.lit(True).alias("relevant"))
+    dummies = scored.where("dummy").join(worst, "query").select("query", "item", F.col("worst").alias("score"), F.lit(True).alias("relevant"))
     return scored.where("relevant IS NOT NULL").select("query", "item", "score", "relevant").unionByName(dummies).unionByName(rows)
 
 
@@ -80,7 +84,7 @@ def ap_by_overlap(results: DataFrame, words: DataFrame) -> DataFrame:
     relevant = F.when(F.col("place").isNull(), False).when(alone, hit).when(beaten, False).when(hit, True)
     held = F.col("place").isNotNull()
     scored = placed.select("query", "item", "score", relevant.alias("relevant"), (held & alone & ~hit).alias("dummy"), F.when(held & (alone | (~beaten & hit)), 1).otherwise(0).alias("claims"))
-    return mid_tie_ap(_with_misses(results, scored, words, True), higher_is_better=False)
+    return mid_tie_ap_by_ranges(_with_misses(results, scored, words, True), higher_is_better=False)
 
 
 def agrees_by_parts(place: Column, length: Column, letters: Column, middle: Column, width: Column) -> Column:
@@ -100,4 +104,4 @@ def ap_by_position(results: DataFrame, words: DataFrame) -> DataFrame:
     held, alone = place > 0, F.col("n") == 1
     agrees = agrees_by_parts(place, length, letters, middle, width)
     scored = placed.select("query", "item", "score", (held & F.when(alone, agrees).otherwise(F.col("off") == F.col("least"))).alias("relevant"), (held & alone & ~agrees).alias("dummy"), F.when(held, 1).otherwise(0).alias("claims"))
-    return mid_tie_ap(_with_misses(results, scored, words, False), higher_is_better=False)
+    return mid_tie_ap_by_ranges(_with_misses(results, scored, words, False), higher_is_better=False)

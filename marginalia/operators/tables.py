@@ -24,6 +24,24 @@ def positions(rows: DataFrame, order: str, name: str = "rn") -> DataFrame:
     return placed.join(before, "__task").withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")).drop("__task", "__at", "__before")
 
 
+def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
+    """The rows with, for each of ``columns``, its sum over the earlier rows of the same ``by``, as ``<column>_before``.
+
+    A range sort by ``by`` and ``order``, so that a ``by`` that holds most rows spreads over many tasks; sums within a task's part of a
+    ``by``, and the parts' totals before it. ``order`` should leave no ties.
+    """
+    sorted_ = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialise(sorted_, "running").withColumn("__task", F.shiftright("__at", 33))
+    part = ["__task", *by]
+    totals = placed.groupBy(*part).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*part, *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}_before") for c in columns])
+    within = Window.partitionBy(*part).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__{c}_inner") for c in columns])
+    joined = inner.join(before.select(*[F.col(c).alias(f"__by_{c}") for c in part], *[f"__{c}_before" for c in columns]), [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in part])
+    return joined.select(*rows.columns, *[(F.col(f"__{c}_inner") + F.col(f"__{c}_before")).alias(f"{c}_before") for c in columns])
+
+
 def zip_rows(a: DataFrame, a_order: str, b: DataFrame, b_order: str) -> DataFrame:
     """The i-th row of one with the i-th of the other, as far as both go."""
     return positions(a, a_order).join(positions(b, b_order), "rn").drop("rn")

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import ngrams
-from marginalia.functions.vectors import interval_iou
-from marginalia.operators import subword
+from marginalia.functions.vectors import blended, dot
+from marginalia.operators import ranking, strips, subword
 from marginalia.plans.registry import query
-from marginalia.runtime import table
+from marginalia.runtime import materialise, table
 
 IOU = "(least({e}, x1) - greatest({s}, x0)) / (greatest({e}, x1) - least({s}, x0))"
 FIRST = IOU.format(s="10 * (one - 1)", e="10 * (one + 1)")
 SECOND = IOU.format(s="10 * (two - 1)", e="10 * (two + 1)")
 
 
-def spots(width: str) -> str:
-    return f"""words AS (SELECT p_partkey AS item, replace(lower(p_name), ' ', '') AS label FROM part),
+#: Codewords of the strips: 26 letters in each of four hands.
+HANDS = 4
+ALPHA = 0.5
+
+GLYPHS = f"""glyph AS (SELECT vec_id AS g, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id < {26 * HANDS}),
+    gg AS (SELECT a.g AS a, b.g AS b, sum(a.x * b.x) AS d FROM glyph a JOIN glyph b USING (i) GROUP BY a.g, b.g),
+    words AS (SELECT p_partkey AS item, replace(lower(p_name), ' ', '') AS label FROM part),
     cut AS (SELECT unnest(list_transform(range(1, len(label)), lambda i: substr(label, i, 2))) AS g FROM words),
     q AS (SELECT g AS query FROM cut GROUP BY g ORDER BY count(*) DESC, g LIMIT 5),
+    places AS (SELECT item, label, unnest(range(0, len(label))) AS pos FROM words),
+    letters AS (SELECT item, pos, 26 * ((item + pos) % {HANDS}) + ascii(substr(label, pos + 1, 1)) - 97 AS g FROM places),
+    shown AS (SELECT query, min(item) AS item FROM q JOIN words ON contains(label, query) GROUP BY query),
+    image AS (SELECT query, i, sum(x) AS x FROM shown JOIN words USING (item) JOIN letters USING (item) JOIN glyph USING (g) WHERE pos - strpos(label, query) IN (-1, 0) GROUP BY query, i),
+    spelt AS (SELECT query, i, sum(x) AS x FROM q CROSS JOIN range(1, 3) t(k) CROSS JOIN range(0, {HANDS}) h(v) JOIN glyph ON glyph.g = 26 * v + ascii(substr(query, k, 1)) - 97 GROUP BY query, i)"""
+ASKED = f"""{GLYPHS},
+    qv AS (SELECT query, i, {ALPHA}::DOUBLE * image.x / sqrt(sum(image.x * image.x) OVER w) + {1 - ALPHA}::DOUBLE * spelt.x / sqrt(sum(spelt.x * spelt.x) OVER w) AS x FROM image JOIN spelt USING (query, i) WINDOW w AS (PARTITION BY query)),
+    gq AS (SELECT g, query, sum(glyph.x * qv.x) AS d FROM glyph JOIN qv USING (i) GROUP BY g, query)"""
+
+
+def measured(boxes: str, name: str) -> str:
+    """SQL for the score of each row (query, item, x0, x1, ..) of ``boxes``, from dot products of the codewords."""
+    return f"""{name}_cells AS (SELECT item, x0, x1, g, least(x1, 10 * pos + 10) - greatest(x0, 10 * pos) AS n FROM (SELECT DISTINCT item, x0, x1 FROM {boxes}) b JOIN letters USING (item) WHERE least(x1, 10 * pos + 10) > greatest(x0, 10 * pos)),
+    {name}_size AS (SELECT a.item, a.x0, a.x1, sqrt(sum(a.n * b.n * d)) AS size FROM {name}_cells a JOIN {name}_cells b ON a.item = b.item AND a.x0 = b.x0 AND a.x1 = b.x1 JOIN gg ON gg.a = a.g AND gg.b = b.g GROUP BY ALL),
+    {name}_like AS (SELECT query, item, x0, x1, sum(n * d) AS likeness FROM {name}_cells JOIN gq USING (g) GROUP BY ALL),
+    {name} AS (SELECT {boxes}.*, round(-(likeness / size), 6) + 0.0 AS score FROM {boxes} JOIN {name}_like USING (query, item, x0, x1) JOIN {name}_size USING (item, x0, x1))"""
+
+
+def spots(width: str) -> str:
+    return f"""{ASKED},
     win AS (SELECT query, item, label, w, unnest(range(0, (10 * len(label) - w) // 8 + 1)) AS r FROM words CROSS JOIN q CROSS JOIN (SELECT unnest({width}) AS w) WHERE 10 * len(label) >= w),
-    res AS (SELECT query, item, label, w, r, 8 * r AS x0, 8 * r + w AS x1, strpos(label, query) AS one FROM win),
-    scored AS (SELECT * EXCLUDE (one), round(('0x' || md5(concat_ws('|', query, item, w, r))[1:7])::BIGINT::DOUBLE / 268435456 - CASE WHEN one > 0 THEN greatest({FIRST}, 0.0) ELSE 0.0 END, 6) AS score FROM res)"""
+    res AS (SELECT query, item, label, w, r, 8 * r AS x0, 8 * r + w AS x1 FROM win),
+    {measured('res', 'scored')}"""
 
 
 TWO = """tops AS (SELECT query, item, arg_min(r, struct_pack(s := score, r := r)) AS r FROM scored GROUP BY query, item),
@@ -45,21 +71,38 @@ def words(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("label"))
 
 
-def scored(spark, sf_dir, widths=(24,)) -> DataFrame:
-    """The five most frequent bigrams against every window of every word. A window's score is drawn from its hash, less its
-    overlap with the bigram's first place."""
-    every = words(spark, sf_dir)
-    q = every.select(F.explode(ngrams(F.col("label"), 2)).alias("query")).groupBy("query").count().orderBy(F.desc("count"), "query").limit(5).select("query")
-    met = every.join(F.broadcast(q)).withColumn("w", F.explode(F.array(*map(F.lit, widths))))
-    w = subword.windows(met, F.col("w"), 8)
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", "query", F.col("item").cast("string"), F.col("w").cast("string"), F.col("r").cast("string"))), 1, 7), 16, 10).cast("double") / 268435456.0
-    one = F.expr("instr(label, query)")
-    near = F.when(one > 0, F.greatest(interval_iou(10 * (one - 1), 10 * (one + 1), F.col("x0"), F.col("x1")), F.lit(0.0))).otherwise(0.0)
-    return w.withColumn("score", F.round(draw - near, 6))
+def codebook(spark, sf_dir) -> strips.Codebook:
+    """The vectors of the first 104 embeddings, a model of fixed size, stand in for trained letter shapes."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < 26 * HANDS).select("vec_id", "embedding").collect()
+    return strips.Codebook(np.array([r.embedding for r in sorted(rows)], dtype=np.float64))
+
+
+def written(words: DataFrame) -> DataFrame:
+    """(item, label) with strip: each letter in the hand of its place."""
+    cell = lambda i: ((F.col("item") + i) % HANDS * 26 + F.ascii(F.substr("label", i + 1, F.lit(1))) - 97).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.char_length("label") - 1), cell)
+    return words.withColumn("strip", F.when(F.char_length("label") > 0, cells).otherwise(F.array().cast("array<int>")))
+
+
+def asked(spark, sf_dir, alpha: float = ALPHA) -> tuple[strips.Codebook, list[str], np.ndarray]:
+    """Codebook, names and vectors of the five most frequent bigrams. Their images are cut from the first word that has them; their
+    texts are the sums over all hands."""
+    book, every = codebook(spark, sf_dir), words(spark, sf_dir)
+    top = every.select("item", F.explode(ngrams(F.col("label"), 2)).alias("query")).groupBy("query").agg(F.count("*").alias("n"), F.min("item").alias("item")).orderBy(F.desc("n"), "query").limit(5)
+    rows = written(every).join(F.broadcast(top), "item").select("query", "n", F.expr("slice(strip, instr(label, query), 2)").alias("cells")).orderBy(F.desc("n"), "query").collect()
+    names = [r.query for r in rows]
+    images = np.array([book.vectors[r.cells].sum(0) for r in rows])
+    texts = np.array([sum(book.vectors[26 * v + ord(c) - 97] for c in q for v in range(HANDS)) for q in names])
+    return book, names, strips.query_vectors(images, texts, alpha)
+
+
+def scored(spark, sf_dir, widths=(24,), apart: int | None = None) -> DataFrame:
+    """Windows of every word against the asked bigrams, by their vectors."""
+    return strips.spot(written(words(spark, sf_dir)), *asked(spark, sf_dir), widths, 8, apart)
 
 
 def spotted(spark, sf_dir) -> DataFrame:
-    return subword.best_share(subword.best_two(scored(spark, sf_dir), 2), 0.25)
+    return materialise(subword.best_share(scored(spark, sf_dir, apart=2), 0.25), "spotted")
 
 
 @query(f"WITH {spots('[24]')} SELECT query, count(*) AS n_windows, count(DISTINCT item) AS n_words, min(score) AS best FROM scored GROUP BY query")
@@ -111,3 +154,81 @@ def z06_window_grid(spark, sf_dir):
     """Windows of 50 by 40 every 16 places over areas of a size for each nation."""
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area"), (40 + F.col("n_nationkey") * 8).cast("int").alias("w"), (60 + F.col("n_regionkey") * 20).cast("int").alias("h"))
     return subword.grid(areas, 50, 40, 16).select("area", "x", "y")
+
+
+TRIES = """tries AS (SELECT query, item, k.r AS r, k.x0 AS h0, k.x1 AS h1, k.score AS own, side, ord, x0 + a AS x0, x1 + b AS x1 FROM (SELECT * EXCLUDE (label) FROM kept) k JOIN words USING (item) CROSS JOIN (VALUES (0, 1, -4, 0), (0, 2, 4, 0), (1, 1, 0, 4), (1, 2, 0, -4)) m(side, ord, a, b)
+        WHERE CASE WHEN a < 0 THEN x0 > 4 WHEN b > 0 THEN x1 + 4 < 10 * len(words.label) ELSE true END)"""
+
+
+@query(f"""WITH {SPOT}, {TRIES}, {measured('tries', 'tried')},
+    edges AS (SELECT query, item, r, h0, h1, own, side, arg_min(CASE side WHEN 0 THEN x0 ELSE x1 END, struct_pack(s := score, o := ord)) FILTER (WHERE score < own) AS edge, min(score) FILTER (WHERE score < own) AS low FROM tried GROUP BY ALL),
+    l AS (SELECT query, item, r, coalesce(edge, h0) AS left_, coalesce(low, own) AS s0 FROM edges WHERE side = 0), rr AS (SELECT query, item, r, coalesce(edge, h1) AS right_, coalesce(low, own) AS s1 FROM edges WHERE side = 1),
+    one AS (SELECT query, item, k.r AS r, k.x0 AS h0, k.x1 AS h1, left_, right_, CASE WHEN s0 < s1 THEN left_ ELSE k.x0 END AS n0, CASE WHEN s0 < s1 THEN k.x1 ELSE right_ END AS n1, least(s0, s1) AS low FROM kept k JOIN l USING (query, item, r) JOIN rr USING (query, item, r)),
+    pair AS (SELECT query, item, r, left_ AS x0, right_ AS x1 FROM one WHERE left_ <> h0 AND right_ <> h1 AND left_ < right_), {measured('pair', 'joint')}
+    SELECT query, item, CASE WHEN score < low THEN left_ ELSE n0 END AS x0, CASE WHEN score < low THEN right_ ELSE n1 END AS x1, least(low, coalesce(score, low)) AS score FROM one LEFT JOIN (SELECT query, item, r, score FROM joint) USING (query, item, r)""")
+def z07_refined_hits(spark, sf_dir):
+    """The spotter's hits with their edges moved by half a stride where that makes them more alike."""
+    hits = spotted(spark, sf_dir).join(written(words(spark, sf_dir)).select("item", "strip"), "item")
+    return strips.refine(hits, *asked(spark, sf_dir), 4).drop("label")
+
+
+WHOLE = f"""glyph AS (SELECT vec_id AS g, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id < {26 * HANDS}),
+    words AS (SELECT p_partkey AS item, replace(lower(p_name), ' ', '') AS label FROM part), places AS (SELECT item, label, unnest(range(0, len(label))) AS pos FROM words),
+    im AS (SELECT item, i, sum(x) AS x FROM (SELECT item, 26 * ((item + pos) % {HANDS}) + ascii(substr(label, pos + 1, 1)) - 97 AS g FROM places) JOIN glyph USING (g) GROUP BY item, i),
+    tx AS (SELECT item, i, sum(x) AS x FROM (SELECT item, 26 * v + ascii(substr(label, pos + 1, 1)) - 97 AS g FROM places CROSS JOIN range(0, {HANDS}) h(v)) JOIN glyph USING (g) GROUP BY item, i),
+    iv AS (SELECT item, i, x / sqrt(sum(x * x) OVER (PARTITION BY item)) AS x FROM im), tv AS (SELECT item, i, x / sqrt(sum(x * x) OVER (PARTITION BY item)) AS x FROM tx)"""
+
+
+def whole_words(spark, sf_dir) -> DataFrame:
+    """item, label, image and text: unit vectors of the word as written and as spelt, the mean of all hands."""
+    book, every = codebook(spark, sf_dir), words(spark, sf_dir)
+    spelt = strips.Codebook(sum(book.vectors[26 * v : 26 * v + 26] for v in range(HANDS)))
+    letters = every.withColumn("strip", F.transform(F.filter(F.split("label", ""), lambda c: c != ""), lambda c: (F.ascii(c) - 97).cast("int")))
+    return strips.whole(written(every), book, "image").join(strips.whole(letters, spelt, "text").select("item", "text"), "item")
+
+
+@query(f"""WITH {WHOLE}, qv AS (SELECT item AS query, i, 0.5::DOUBLE * iv.x + 0.5::DOUBLE * tv.x AS x FROM iv JOIN tv USING (item, i) WHERE item % 100 = 0),
+    s AS (SELECT query, item, round(sum(qv.x * iv.x), 6) AS score FROM qv JOIN iv USING (i) WHERE query <> item GROUP BY query, item),
+    r AS (SELECT query, s.item, score, a.label = b.label AS relevant FROM s JOIN words a ON a.item = query JOIN words b ON b.item = s.item),
+    mid AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY score DESC) - 1 + floor((count(*) OVER (PARTITION BY query, score) - 1) / 2) AS rk FROM r),
+    rel AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY rk) / (rk + 1) AS part FROM mid WHERE relevant) SELECT query, count(*) AS n_relevant, round(avg(part), 6) AS ap FROM rel GROUP BY query""")
+def z08_whole_words(spark, sf_dir):
+    """Spotting of whole words: every hundredth word, half image and half text, against all others."""
+    every = materialise(whole_words(spark, sf_dir), "whole-words")
+    asked_ = every.where("item % 100 = 0").select(F.col("item").alias("query"), blended(F.col("image"), F.col("text"), 0.5).alias("qv"), F.col("label").alias("qlabel"))
+    met = ranking.similarity(asked_, every.select("item", F.col("image").alias("v"), "label"))
+    return ranking.mid_tie_ap(met).select("query", "n_relevant", F.round("ap", 6).alias("ap"))
+
+
+@query(f"""WITH {WHOLE} SELECT a.item AS item, round(-sum(a.x * b.x), 6) + 0.0 AS images, round(-sum(t.x * b.x), 6) + 0.0 AS text_and_image FROM iv a JOIN iv b ON b.item = a.item + 1 AND a.i = b.i JOIN tv t ON t.item = a.item AND t.i = a.i GROUP BY a.item""")
+def z09_compare(spark, sf_dir):
+    """Each word with the next: the negated likeness of their images, and of the one's text to the other's image."""
+    every = materialise(whole_words(spark, sf_dir), "whole-words")
+    other = every.select((F.col("item") - 1).alias("item"), F.col("image").alias("other"))
+    near = lambda a: F.round(-dot(F.col(a), F.col("other")), 6) + 0.0
+    return every.join(other, "item").select("item", near("image").alias("images"), near("text").alias("text_and_image"))
+
+
+@query(f"""WITH {GLYPHS},
+    sides AS (SELECT query, i, image.x / sqrt(sum(image.x * image.x) OVER w) AS a, spelt.x / sqrt(sum(spelt.x * spelt.x) OVER w) AS b FROM image JOIN spelt USING (query, i) WINDOW w AS (PARTITION BY query)),
+    gq AS (SELECT g, query, sum(glyph.x * a) AS a, sum(glyph.x * b) AS b FROM glyph JOIN sides USING (i) GROUP BY g, query),
+    win AS (SELECT item, label, unnest(range(0, (10 * len(label) - 24) // 8 + 1)) AS r FROM words WHERE len(label) >= 3),
+    cells AS (SELECT item, r, g, least(8 * r + 24, 10 * pos + 10) - greatest(8 * r, 10 * pos) AS n FROM win JOIN letters USING (item) WHERE least(8 * r + 24, 10 * pos + 10) > greatest(8 * r, 10 * pos)),
+    size AS (SELECT x.item, x.r, sqrt(sum(x.n * y.n * d)) AS size FROM cells x JOIN cells y ON x.item = y.item AND x.r = y.r JOIN gg ON gg.a = x.g AND gg.b = y.g GROUP BY ALL),
+    two AS (SELECT query, item, r, sum(n * a) / any_value(size) AS a, sum(n * b) / any_value(size) AS b FROM cells JOIN gq USING (g) JOIN size USING (item, r) GROUP BY query, item, r),
+    best AS (SELECT t.n AS fifths, query, item, max(round(t.n / 5 * a + (1 - t.n / 5) * b, 6) + 0.0) AS score FROM two CROSS JOIN range(0, 6) t(n) GROUP BY ALL),
+    r AS (SELECT fifths, query, item, score, contains(label, query) AS relevant FROM best JOIN words USING (item)),
+    mid AS (SELECT *, rank() OVER (PARTITION BY fifths, query ORDER BY score DESC) - 1 + floor((count(*) OVER (PARTITION BY fifths, query, score) - 1) / 2) AS rk FROM r),
+    rel AS (SELECT fifths, query, row_number() OVER (PARTITION BY fifths, query ORDER BY rk) / (rk + 1) AS part FROM mid WHERE relevant),
+    s AS (SELECT fifths, round(avg(ap), 5) AS value FROM (SELECT fifths, query, avg(part) AS ap FROM rel GROUP BY fifths, query) GROUP BY fifths)
+    SELECT fifths::INT AS fifths, value, row_number() OVER (ORDER BY value DESC, fifths) = 1 AS best FROM s""")
+def z10_hybrid_windows(spark, sf_dir):
+    """The share of the image in the query swept in fifths: a word's score is that of its best window, words with the bigram are relevant.
+    All settings' queries go through the windows in one product."""
+    every = words(spark, sf_dir)
+    settings = [asked(spark, sf_dir, n / 5) for n in range(6)]
+    names = [f"{n}{name}" for n, (_, grams, _) in enumerate(settings) for name in grams]
+    best = strips.spot(written(every), settings[0][0], names, np.concatenate([q for *_, q in settings]), (24,), 8, 1 << 30)
+    r = best.select(F.substring("query", 1, 1).cast("int").alias("fifths"), F.substring("query", 2, 99).alias("query"), "label", (-F.col("score") + 0.0).alias("score")).withColumn("relevant", F.expr("instr(label, query) > 0"))
+    s = ranking.mid_tie_ap_by_ranges(r, ("fifths", "query")).groupBy("fifths").agg(F.round(F.avg("ap"), 5).alias("value"))
+    return ranking.best_setting(s, "fifths", F.col("value"))

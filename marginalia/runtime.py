@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -47,6 +48,11 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with the broadcast hint if it has at most ``rows`` rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the Python workers this package, once per application, wherever it was imported from."""
     context = spark.sparkContext
