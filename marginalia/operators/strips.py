@@ -209,3 +209,21 @@ def whole(words: DataFrame, book: Codebook, column: str = "v") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(v), pa.list_(pa.float64()))], names=["item", "label", column])
 
     return rows.mapInArrow(run, f"item {item.simpleString()}, label string, {column} array<double>")
+
+
+def columns(words: DataFrame, book: Codebook, name: str = "columns") -> DataFrame:
+    """``words`` (item, label, strip) with a sequence of feature columns, two a cell: the cell's vector, and its mean with the next
+    cell's (the last cell's own)."""
+    ship_package(words.sparkSession)
+    rows = _rows(words)
+    item = rows.schema["item"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.column(2).to_pylist():
+                v = book.vectors[np.asarray(s, dtype=np.int64)]
+                out.append(np.stack([v, (v + np.concatenate([v[1:], v[-1:]])) / 2], axis=1).reshape(2 * len(v), -1).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["item", "label", name])
+
+    return rows.mapInArrow(run, f"item {item.simpleString()}, label string, {name} array<array<double>>")
