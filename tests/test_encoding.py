@@ -13,7 +13,7 @@ def density(x, m, s):
 
 
 def test_mixtures_against_plain_rounds(spark):
-    x = [RNG.normal(size=(60, 2)) + [[4, 0]] * (i % 2) for i in range(2)]
+    x = [RNG.normal(size=(60, 2)) + [4.0 * i, 0.0] for i in range(2)]
     rows = spark.createDataFrame([(b, v.tolist()) for b in range(2) for v in x[b]] + [(None, [1.0, 2.0]), (0, None)], "bin int, v array<double>").repartition(3)
     parts, likelihoods = encoding.fit_mixtures(rows, 2, 3, rounds=6, tolerance=0.0)
     starts, _ = encoding.fit_mixtures(rows, 2, 3, rounds=0)
