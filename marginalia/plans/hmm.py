@@ -18,7 +18,7 @@ MODEL = hmm.Model(np.array([0.7, 0.3]), np.array([[0.8, 0.2], [0.4, 0.6]]), np.o
 
 def normal_sql(x: str, y: str, mean: np.ndarray, c: np.ndarray) -> str:
     """SQL for the logarithm of a two-dimensional Gaussian density with numbers for its parameters."""
-    det = c[0, 0] * c[1, 1] - c[0, 1] ** 2
+    det = float(c[0, 0] * c[1, 1] - c[0, 1] ** 2)
     dx, dy = f"({x} - {mean[0]}::DOUBLE)", f"({y} - {mean[1]}::DOUBLE)"
     return f"(-0.5::DOUBLE * ({c[1, 1]}::DOUBLE * {dx} * {dx} - {2 * c[0, 1]}::DOUBLE * {dx} * {dy} + {c[0, 0]}::DOUBLE * {dy} * {dy}) / {det!r}::DOUBLE - {math.log(2 * math.pi) + 0.5 * math.log(det)!r}::DOUBLE)"
 
