@@ -56,14 +56,14 @@ def cut_by_size(rows: DataFrame, order: str, size: str, target: float) -> DataFr
     return placed.withColumn("__inner", inner).join(before, "__task").withColumn("node", F.floor((F.col("__inner") + F.col("__before")).cast("double") / target).cast("long")).drop("__task", "__at", "__before", "__inner")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, w: float, h: float) -> DataFrame:
-    """box, pid of the points (pid, px, py) in the boxes (box, x, y) of one size, edges included.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, w: float, h: float, columns: Sequence[str] = ("pid",)) -> DataFrame:
+    """box, pid (or other ``columns``) of the points (pid, px, py) in the boxes (box, x, y) of one size, edges included.
 
     Both go to cells of the box's size, a point to one and a box to the four it may touch: the join is on equality."""
     at = points.withColumn("cx", F.floor(F.col("px") / w)).withColumn("cy", F.floor(F.col("py") / h))
     spread = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / w), F.floor((F.col("x") + w) / w)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / h), F.floor((F.col("y") + h) / h))))
     inside = F.col("px").between(F.col("x"), F.col("x") + w) & F.col("py").between(F.col("y"), F.col("y") + h)
-    return at.join(spread, ["cx", "cy"]).where(inside).select("box", "pid")
+    return at.join(spread, ["cx", "cy"]).where(inside).select("box", *columns)
 
 
 def mask_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
