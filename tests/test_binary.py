@@ -97,23 +97,22 @@ def test_windows_in_sql(session, width, stride):
         session.sql("SELECT * FROM sliding_windows(TABLE(w_rows) PARTITION BY (k) ORDER BY (i), 'k', 2, 1, 'zz')").collect()
 
 
-class Largest:
-    """A visitor of its own: the largest of weight times distance from a corner."""
-
-    def start(self):
-        return np.array([-1.0])
+def test_visitors(session):
+    class Largest:
+        """A visitor of its own: the largest of weight times distance from a corner."""
 
-    def step(self, state, weights, xs):
-        return np.maximum(state, (weights * xs).max())
+        def start(self):
+            return np.array([-1.0])
 
-    def merge(self, a, b):
-        return np.maximum(a, b)
+        def step(self, state, weights, xs):
+            return np.maximum(state, (weights * xs).max())
 
-    def finish(self, state):
-        return state[0]
+        def merge(self, a, b):
+            return np.maximum(a, b)
 
+        def finish(self, state):
+            return state[0]
 
-def test_visitors(session):
     rng = np.random.default_rng(1)
     points = [(i, float(x), float(y), int(f)) for i, (x, y, f) in enumerate(zip(rng.uniform(0, 20, 300), rng.uniform(0, 20, 300), rng.integers(0, 4, 300), strict=True))] + [(999, None, 1.0, 2)]
     boxes = [(b, float(x), float(y)) for b, (x, y) in enumerate(rng.uniform(-2, 18, (30, 2)))] + [(77, 500.0, 500.0)]
