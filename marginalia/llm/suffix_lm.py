@@ -5,8 +5,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, repeat
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +68,79 @@ def ngram_keys(symbols: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return key[good]
 
 
-def _symbols(texts: list[bytes], lookup: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    words = [tokens(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    symbols = np.fromiter(map(lookup.get, chain.from_iterable(words), repeat(0)), dtype=np.int64, count=int(sizes.sum()))
+#: Tokens whose n-grams a task sorts at once; the more, the fewer chance n-grams reach their share of them.
+SEGMENT = 1 << 23
+
+#: A document's row holds its tokens' numbers; its rows marked rare hold the words without a number, by hash, and how often each stands in it.
+NUMBERED = "id {id}, row long, h long, rare boolean, times long, n_tokens long, n_known long, symbols binary"
+
+
+def numbered(rows: DataFrame, lookup) -> DataFrame:
+    """(id, text) -> NUMBERED: the texts are cut into words for the last time, and each word looked up in ``lookup``."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema["id"].dataType
+    names = [c.split()[0] for c in NUMBERED.split(", ")]
+    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rows_of = lookup.value, []
+
+        def without_rows() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows_of.extend(b.column(2).to_pylist())
+                yield b
+
+        for ids, texts in text_chunks(without_rows()):
+            numbers, rows_of[: len(ids)] = rows_of[: len(ids)], []
+            cells: list[list] = [[] for _ in names]
+            row, h, times = [], [], []
+            for i, number, t in zip(ids, numbers, texts, strict=True):
+                words = tokens(t)
+                symbols = np.fromiter(map(table.get, words, repeat(0)), dtype=np.int32, count=len(words))
+                unknown = np.flatnonzero(symbols == 0).tolist()
+                for cell, x in zip(cells, (i, number, number, False, 0, len(words), len(words) - len(unknown), symbols.tobytes()), strict=True):
+                    cell.append(x)
+                found = Counter(words[j] for j in unknown)
+                row.extend(repeat(number, len(found)))
+                h.extend(xxhash.xxh64_intdigest(w, seed=42) for w in found)
+                times.extend(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], schema=schema)
+            if row:
+                none = lambda t: pa.nulls(len(row), t)  # noqa: B023, E731
+                hashes = np.array(h, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([none(types[0]), pa.array(row, pa.int64()), pa.array(hashes), pa.array([True] * len(row)), pa.array(times, pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], schema=schema)
+
+    return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, NUMBERED.format(id=kind.simpleString()))
+
+
+def _strung(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a batch of documents end to end, the marks of their ends, and where each starts."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in column]
+    sizes = np.array([len(x) for x in parts], dtype=np.int64)
+    symbols = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
     last = np.zeros(len(symbols), dtype=bool)
     last[np.cumsum(sizes) - 1] = True
-    return words, symbols, last
+    return symbols, last, np.cumsum(sizes) - sizes
+
 
+def _bounded(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``budget`` bytes of that column; a longer value comes alone."""
+    for batch in batches:
+        sizes = [len(x.as_buffer()) for x in batch.column(column)]
+        at, held = 0, 0
+        for i, size in enumerate(sizes):
+            if held and held + size > budget:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if at < batch.num_rows:
+            yield batch.slice(at)
 
-def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None, segment: int = 1 << 22) -> DataFrame:
-    """key, c of n-grams over the training texts.
+
+def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidates=None, segment: int = SEGMENT) -> DataFrame:
+    """key, c of n-grams of the ``frequent`` first symbols over (symbols) of the training texts.
 
     Without ``candidates``: counts by segment of the n-grams that reach ``share`` of their segment's tokens.
     Whatever reaches the share of all tokens does so in some segment, so none is missed. With them
@@ -86,7 +148,7 @@ def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, wanted = lookup.value, None if candidates is None else candidates.value
+        wanted = None if candidates is None else candidates.value
         parts, size = [], 0
         sums = np.zeros(0 if wanted is None else len(wanted), dtype=np.int64)
 
@@ -97,17 +159,15 @@ def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None,
                 keys, counts = keys[most], counts[most]
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
-        for ids, texts in text_chunks(batches):
-            texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-            if texts:
-                _, symbols, last = _symbols(texts, table)
-                keys = ngram_keys(symbols, last, n)
-                if wanted is not None:
-                    at, there = _find(wanted, keys, np.ones(len(keys), dtype=bool))
-                    sums += np.bincount(at[there], minlength=len(sums))[: len(sums)]
-                    continue
-                parts.append(keys)
-                size += len(symbols)
+        for batch in _bounded(batches, 0):
+            symbols, last, _ = _strung(batch.column(0))
+            keys = ngram_keys(np.where(symbols <= frequent, symbols, 0), last, n)
+            if wanted is not None:
+                at, there = _find(wanted, keys, np.ones(len(keys), dtype=bool))
+                np.add.at(sums, at[there], 1) if len(sums) > 8 * len(keys) else np.add(sums, np.bincount(at[there], minlength=len(sums))[: len(sums)], out=sums)
+                continue
+            parts.append(keys)
+            size += len(symbols)
             if size >= segment:
                 yield flush()
                 parts, size = [], 0
@@ -117,19 +177,20 @@ def ngram_counts(rows: DataFrame, lookup, n: int, share: float, candidates=None,
             seen = sums > 0
             yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(sums[seen])], names=["key", "c"])
 
-    return rows.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("symbols").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
 class SuffixTree:
     """States by depth, and what they keep.
 
-    ``known``: symbol of each frequent word; ``root``: log10 of the smoothed probability by symbol. For depth d,
+    ``known``: symbol of each common word, the ``frequent`` most common of which can be in a context; ``counts`` by symbol. For depth d,
     ``states[d]`` are the sorted keys of the contexts of d words that passed the test, ``rest[d]`` the weight
     each leaves to its parent, ``moves[d]`` the sorted keys (context, next) and ``gain[d]`` their discounted shares.
     """
 
     known: dict[bytes, int]
+    frequent: int
     counts: np.ndarray
     total: int
     distinct: int
@@ -149,16 +210,17 @@ class SuffixTree:
         base = np.where(known, np.log10(self.counts[symbols] + 1.0), 0.0) - np.log10(self.denominator)
         p = np.where(known, 10.0**base, 1.0)
         first = np.concatenate([[True], last[:-1]]) if len(last) else last
+        common = np.where(symbols <= self.frequent, symbols, 0)
         context, usable = np.zeros(len(symbols), dtype=np.int64), np.ones(len(symbols), dtype=bool)
         start = first
         for d in sorted(self.states):
-            before = np.concatenate([np.zeros(min(d, len(symbols)), dtype=np.int64), symbols[:-d]])
+            before = np.concatenate([np.zeros(min(d, len(symbols)), dtype=np.int64), common[:-d]])
             usable = usable & ~start & (before > 0)
             start = np.concatenate([np.ones(min(1, len(start)), dtype=bool), start[:-1]]) | first
             context = context | (before << (WIDTH * (d - 1)))
             at, there = _find(self.states[d], context, usable)
             usable = usable & there
-            move, kept = _find(self.moves[d], (context << WIDTH) | symbols, usable & known)
+            move, kept = _find(self.moves[d], (context << WIDTH) | common, usable & (common > 0))
             p = np.where(usable, np.where(kept, _take(self.gain[d], move), 0.0) + _take(self.rest[d], at) * p, p)
         score = np.log10(p) - np.where(known, 0.0, np.log10(self.denominator))
         return base, score
@@ -174,7 +236,7 @@ def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[at] if len(values) else np.zeros(len(at))
 
 
-def grow(known: dict[bytes, int], counts: np.ndarray, total: int, distinct: int, ngrams: dict[int, tuple[np.ndarray, np.ndarray]], *, least_gain: float, discount: float) -> SuffixTree:
+def grow(known: dict[bytes, int], frequent: int, counts: np.ndarray, total: int, distinct: int, ngrams: dict[int, tuple[np.ndarray, np.ndarray]], *, least_gain: float, discount: float) -> SuffixTree:
     """Keeps a context where its next words tell it from its parent's.
 
     The test sums, over the kept next words, how far their count times the log of the ratio of the context's share to
@@ -213,16 +275,22 @@ def grow(known: dict[bytes, int], counts: np.ndarray, total: int, distinct: int,
             return np.where(there, np.where(kept, _take(gain[d], move), 0.0) + _take(rest[d], at) * p, p)
 
         probability[d] = deeper
-    return SuffixTree(known, counts, total, distinct, states, rest, moves, gain)
+    return SuffixTree(known, frequent, counts, total, distinct, states, rest, moves, gain)
 
 
-def train(rows: DataFrame, *, root: float = 0.02, known_share: float | None = None, state_share: float | None = None, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame]:
-    """The tree over (id, text), and the table word, c of all training words.
+def train(rows: DataFrame, **options) -> tuple[SuffixTree, DataFrame]:
+    """The tree over (id, text), and the table word, c of all training words; see ``trained``."""
+    return trained(rows, **options)[:2]
+
+
+def trained(rows: DataFrame, *, root: float = 0.003, known_share: float | None = None, state_share: float | None = None, depth: int = 2, least_gain: float = 20.0, discount: float = 0.5) -> tuple[SuffixTree, DataFrame, DataFrame]:
+    """The tree over (id, text), the table word, c of all training words, and the ``numbered`` documents.
 
     An n-gram is asked about from ``root`` times the square root of all tokens on, three at least, and a word is known
     to the tree from a fifth of that on. So what the tree holds grows with the corpus, and yet it may be broadcast: there are at most
     sqrt(tokens) / ``root`` n-grams of a length and five times as many words. Shares of all tokens may be given instead. Counts are over all
-    training texts. N-grams are found in two passes, by segment and then exactly.
+    training texts. N-grams are found in two passes over the numbered documents, by segment and then exactly. More frequent words than
+    a key has room for (2**21 - 1) are an error, not a collision.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -231,26 +299,31 @@ def train(rows: DataFrame, *, root: float = 0.02, known_share: float | None = No
     least = max(3.0, root * float(total or 0) ** 0.5)
     state_share = state_share or least / max(total, 1)
     known_share = known_share or state_share / 5
-    often = vocabulary.where(F.col("c") >= known_share * total).orderBy(F.desc("c"), "word").collect() if total else []
-    known = {bytes(r.word): i for i, r in enumerate(often, 1)}
-    counts = np.array([0, *(r.c for r in often)], dtype=np.int64)
-    frequent = spark.sparkContext.broadcast({w: i for w, i in known.items() if counts[i] >= state_share * total})
-    arrays = lambda df: (lambda p: (p["key"].to_numpy(dtype=np.int64), p["c"].to_numpy(dtype=np.int64)))(df.orderBy("key").toPandas())
+    # columns, not rows: a Python object for each row would be many times the size
+    often = vocabulary.where(F.col("c") >= known_share * total).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    counts = np.concatenate([[0], often.column("c").to_numpy()]).astype(np.int64)
+    known = {w: i for i, w in enumerate(often.column("word").to_pylist(), 1)}
+    del often
+    frequent = int((counts[1:] >= state_share * total).sum())
+    if frequent >= 1 << WIDTH:
+        raise ValueError(f"{frequent} frequent words; an n-gram's key has room for {(1 << WIDTH) - 1}: raise root")
+    docs = materialise(numbered(rows, spark.sparkContext.broadcast(known)), "lm-numbered")
+    train_id = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     # a small task's share of its tokens would be less than one occurrence: every n-gram would be a candidate
-    rows = rows.coalesce(max(1, total // (1 << 21)))
+    texts = docs.where(~F.col("rare") & (F.pmod(train_id, F.lit(7)) != 2)).select("symbols").coalesce(max(1, total // SEGMENT))
+    column = lambda df, name: df.select(name).toArrow().column(name).to_numpy().astype(np.int64)
     ngrams = {}
     for n in range(2, depth + 2):
-        local = materialise(ngram_counts(rows, frequent, n, state_share), "lm-local")
-        candidates = materialise(local.select("key").distinct(), "lm-candidates")
-        few = candidates.count() <= 8 / state_share
-        if few:
-            chosen = np.sort(candidates.toPandas()["key"].to_numpy(dtype=np.int64))
-            exact = ngram_counts(rows, frequent, n, state_share, spark.sparkContext.broadcast(chosen))
+        candidates = materialise(ngram_counts(texts, frequent, n, state_share).select("key"), "lm-candidates")
+        if candidates.count() <= 8 / state_share:
+            chosen = spark.sparkContext.broadcast(np.sort(column(candidates, "key")))
+            exact = ngram_counts(texts, frequent, n, state_share, chosen)
         else:
             # more than may be sent to every task: all n-grams are counted, and the candidates' rows kept
-            exact = ngram_counts(rows, frequent, n, 0.0).join(candidates, "key", "left_semi")
-        ngrams[n] = arrays(exact.where(F.col("c") >= state_share * total))
-    return grow(known, counts, total, distinct, ngrams, least_gain=least_gain, discount=discount), vocabulary
+            exact = ngram_counts(texts, frequent, n, 0.0).join(candidates, "key", "left_semi")
+        exact = exact.where(F.col("c") >= state_share * total).toArrow().sort_by("key")
+        ngrams[n] = exact.column("key").to_numpy().astype(np.int64), exact.column("c").to_numpy().astype(np.int64)
+    return grow(known, frequent, counts, total, distinct, ngrams, least_gain=least_gain, discount=discount), vocabulary, docs
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -268,43 +341,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """
     ship_package(docs.sparkSession)
     rows = narrow(docs, id=id_col, text=text_col)
-    tree, vocabulary = train(rows, **options)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = rows.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("id", to_arrow_type(kind)), ("row", pa.int64()), ("h", pa.int64()), ("rare", pa.bool_()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    tree, vocabulary, numbers = trained(rows, **options)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(tree, known={}))
+    keep = ("id", "row", "h", "rare", "times", "n_tokens", "n_known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        rows_of: list = []
-
-        def without_rows() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows_of.extend(b.column(2).to_pylist())
-                yield b
-
-        for ids, texts in text_chunks(without_rows()):
-            numbers, rows_of[: len(ids)] = rows_of[: len(ids)], []
-            words, symbols, last = _symbols(texts, model.known)
-            base, scored = model.log10(symbols, last)
-            ends = np.cumsum([len(w) for w in words])
-            starts = ends - [len(w) for w in words]
-            whole = [np.add.reduceat(x, starts) for x in (base, scored, (symbols > 0).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field("id").type), pa.array(numbers, pa.int64()), pa.array(numbers, pa.int64()), pa.array([False] * len(ids)), pa.array([0] * len(ids), pa.int64()), pa.array(ends - starts), pa.array(whole[2]), pa.array(whole[0]), pa.array(whole[1])], schema=schema)
-            row, h, times = [], [], []
-            for number, ws, s in zip(numbers, words, starts.tolist(), strict=True):
-                found = Counter(ws[j] for j in np.flatnonzero(symbols[s : s + len(ws)] == 0).tolist())
-                row.extend(repeat(number, len(found)))
-                h.extend(xxhash.xxh64_intdigest(w, seed=42) for w in found)
-                times.extend(found.values())
-            if row:
-                none = lambda t: pa.nulls(len(row), t)  # noqa: B023, E731
-                hashes = np.array(h, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([none(schema.field("id").type), pa.array(row, pa.int64()), pa.array(hashes), pa.array([True] * len(row)), pa.array(times, pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], schema=schema)
-
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(run, f"id {kind.simpleString()}, row long, h long, rare boolean, times long, n_tokens long, n_known long, base double, score double")
+        for batch in _bounded(batches, len(keep)):
+            symbols, last, starts = _strung(batch.column(len(keep)))
+            scored = [np.add.reduceat(x, starts) for x in model.log10(symbols, last)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, scored)], names=[*keep, "base", "score"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbers.select(*keep).schema)
+    found = numbers.where("NOT rare").select(*keep, "symbols").mapInArrow(run, f"{types}, base double, score double")
+    parts = found.unionByName(numbers.where("rare").select(*keep), allowMissingColumns=True)
     counted = vocabulary.select(F.xxhash64("word").alias("h"), F.lit(True).alias("rare"), "c")
     met = parts.join(counted, ["h", "rare"], "left")
     extra = F.when(F.col("rare"), F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)
