@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def ngram_keys(symbols: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Tokens whose n-grams a task sorts at once; the more, the fewer chance n-grams reach their share of them.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 24
 
 #: A document's row holds its tokens' numbers; its rows marked rare hold the words without a number, by hash, and how often each stands in it.
 NUMBERED = "id {id}, row long, h long, rare boolean, times long, n_tokens long, n_known long, symbols binary"
@@ -142,9 +143,11 @@ def _bounded(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 <<
 def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidates=None, segment: int = SEGMENT) -> DataFrame:
     """key, c of n-grams of the ``frequent`` first symbols over (symbols) of the training texts.
 
-    Without ``candidates``: counts by segment of the n-grams that reach ``share`` of their segment's tokens.
-    Whatever reaches the share of all tokens does so in some segment, so none is missed. With them
-    (sorted keys): the exact counts of those, added up by task.
+    With ``candidates`` (sorted keys): the exact counts of those, added up by task. Without them a segment tells only of n-grams that
+    reach ``share`` of its tokens, so one it doesn't tell of stands in it at most ``unsaid`` times. c is the sum of
+    what was told, less the telling segments' ``unsaid``; the row of key -1 has the sum of all segments' ``unsaid``. A
+    key's c and that together are the most times that it can stand in all texts, and an n-gram that reaches the share
+    of all tokens is told of by some segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +156,14 @@ def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidate
         sums = np.zeros(0 if wanted is None else len(wanted), dtype=np.int64)
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            if wanted is None:
-                most = counts >= share * size
-                keys, counts = keys[most], counts[most]
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
+            keys = np.concatenate(parts)
+            parts.clear()
+            keys.sort()
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+            counts = np.diff(np.concatenate([at, [len(keys)]])) if len(keys) else at
+            unsaid = max(0, ceil(share * size) - 1)
+            most = counts >= share * size
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at[most]], [-1]])), pa.array(np.concatenate([counts[most] - unsaid, [unsaid]]).astype(np.int64))], names=["key", "c"])
 
         for batch in _bounded(batches, 0):
             symbols, last, _ = _strung(batch.column(0))
@@ -170,7 +176,7 @@ def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidate
             size += len(symbols)
             if size >= segment:
                 yield flush()
-                parts, size = [], 0
+                size = 0
         if parts:
             yield flush()
         if len(sums):
@@ -314,7 +320,9 @@ def trained(rows: DataFrame, *, root: float = 0.003, known_share: float | None =
     column = lambda df, name: df.select(name).toArrow().column(name).to_numpy().astype(np.int64)
     ngrams = {}
     for n in range(2, depth + 2):
-        candidates = materialise(ngram_counts(texts, frequent, n, state_share).select("key"), "lm-candidates")
+        told = materialise(ngram_counts(texts, frequent, n, state_share), "lm-told")
+        unsaid = told.where("key = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        candidates = materialise(told.where((F.col("key") >= 0) & (F.col("c") + unsaid >= state_share * total)).select("key"), "lm-candidates")
         if candidates.count() <= 8 / state_share:
             chosen = spark.sparkContext.broadcast(np.sort(column(candidates, "key")))
             exact = ngram_counts(texts, frequent, n, state_share, chosen)

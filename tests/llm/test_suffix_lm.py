@@ -89,3 +89,18 @@ def test_awkward_rows(awkward, nothing):
     rows = suffix_lm.score(awkward).collect()
     assert len(rows) == 9 and {(r.doc_id, r.n_tokens) for r in rows} >= {(1, 1), (2, 1), (7, 1), (3, 8)}
     assert suffix_lm.score(nothing).count() == 0
+
+
+def test_segments_tell_of_every_ngram_that_can_be_frequent(spark):
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(1, 12, rng.integers(1, 60)).astype(np.int32) for _ in range(80)]
+    rows = spark.createDataFrame([(x.tobytes(),) for x in docs], "symbols binary").repartition(3)
+    pairs = Counter((int(a) << suffix_lm.WIDTH) | int(b) for x in docs for a, b in zip(x, x[1:], strict=False) if a <= 9 and b <= 9)
+    total = sum(map(len, docs))
+    for share, segment in ((0.004, 300), (0.01, 150), (0.0, 100)):
+        told = {r.key: r.c for r in suffix_lm.ngram_counts(rows, 9, 2, share, segment=segment).collect()}
+        unsaid = told.pop(-1)
+        assert all(c <= told.get(k, 0) + unsaid for k, c in pairs.items()) and told.keys() <= pairs.keys()
+        assert {k for k, c in pairs.items() if c >= share * total} <= told.keys()
+        wanted = spark.sparkContext.broadcast(np.array(sorted(told), dtype=np.int64))
+        assert {r.key: r.c for r in suffix_lm.ngram_counts(rows, 9, 2, share, wanted).collect()} == {k: pairs[k] for k in told}
