@@ -69,8 +69,9 @@ def ngram_keys(symbols: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return key[good]
 
 
-#: Tokens whose n-grams a task sorts at once; the more, the fewer chance n-grams reach their share of them.
-SEGMENT = 1 << 24
+#: A segment has as many tokens as make the floor's share of it TOLD occurrences, within these bounds: fewer, and chance n-grams reach the
+#: share. Its n-grams are sorted in SLICES, so that a task holds four bytes a token and a slice's keys.
+TOLD, LEAST_SEGMENT, MOST_SEGMENT, SLICES = 8, 1 << 22, 1 << 25, 4
 
 #: A document's row holds its tokens' numbers; its rows marked rare hold the words without a number, by hash, and how often each stands in it.
 NUMBERED = "id {id}, row long, h long, rare boolean, times long, n_tokens long, n_known long, symbols binary"
@@ -140,7 +141,12 @@ def _bounded(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 <<
             yield batch.slice(at)
 
 
-def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidates=None, segment: int = SEGMENT) -> DataFrame:
+def _slices(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (SLICES - 1).bit_length())
+
+
+def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidates=None, segment: int = MOST_SEGMENT) -> DataFrame:
     """key, c of n-grams of the ``frequent`` first symbols over (symbols) of the training texts.
 
     With ``candidates`` (sorted keys): the exact counts of those, added up by task. Without them a segment tells only of n-grams that
@@ -155,30 +161,33 @@ def ngram_counts(docs: DataFrame, frequent: int, n: int, share: float, candidate
         parts, size = [], 0
         sums = np.zeros(0 if wanted is None else len(wanted), dtype=np.int64)
 
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(parts)
-            parts.clear()
-            keys.sort()
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-            counts = np.diff(np.concatenate([at, [len(keys)]])) if len(keys) else at
+        def flush() -> Iterator[pa.RecordBatch]:
             unsaid = max(0, ceil(share * size) - 1)
-            most = counts >= share * size
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at[most]], [-1]])), pa.array(np.concatenate([counts[most] - unsaid, [unsaid]]).astype(np.int64))], names=["key", "c"])
+            for k in range(SLICES):
+                keys = np.concatenate([x[_slices(x) == k] for x in (ngram_keys(symbols.astype(np.int64), last, n) for symbols, last in parts)])
+                keys.sort()
+                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+                counts = np.diff(np.concatenate([at, [len(keys)]])) if len(keys) else at
+                most = counts >= share * size
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at[most]]), pa.array((counts[most] - unsaid).astype(np.int64))], names=["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([unsaid], pa.int64())], names=["key", "c"])
+            parts.clear()
 
         for batch in _bounded(batches, 0):
             symbols, last, _ = _strung(batch.column(0))
-            keys = ngram_keys(np.where(symbols <= frequent, symbols, 0), last, n)
+            symbols = np.where(symbols <= frequent, symbols, 0)
             if wanted is not None:
+                keys = ngram_keys(symbols, last, n)
                 at, there = _find(wanted, keys, np.ones(len(keys), dtype=bool))
                 np.add.at(sums, at[there], 1) if len(sums) > 8 * len(keys) else np.add(sums, np.bincount(at[there], minlength=len(sums))[: len(sums)], out=sums)
                 continue
-            parts.append(keys)
+            parts.append((symbols.astype(np.int32), last))
             size += len(symbols)
             if size >= segment:
-                yield flush()
+                yield from flush()
                 size = 0
         if parts:
-            yield flush()
+            yield from flush()
         if len(sums):
             seen = sums > 0
             yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(sums[seen])], names=["key", "c"])
@@ -315,12 +324,13 @@ def trained(rows: DataFrame, *, root: float = 0.003, known_share: float | None =
         raise ValueError(f"{frequent} frequent words; an n-gram's key has room for {(1 << WIDTH) - 1}: raise root")
     docs = materialise(numbered(rows, spark.sparkContext.broadcast(known)), "lm-numbered")
     train_id = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    # a small task's share of its tokens would be less than one occurrence: every n-gram would be a candidate
-    texts = docs.where(~F.col("rare") & (F.pmod(train_id, F.lit(7)) != 2)).select("symbols").coalesce(max(1, total // SEGMENT))
+    segment = min(MOST_SEGMENT, max(LEAST_SEGMENT, ceil(TOLD / state_share)))
+    # tasks of a segment each: a small task's share of its tokens would be less than one occurrence, and every n-gram would be told of
+    texts = docs.where(~F.col("rare") & (F.pmod(train_id, F.lit(7)) != 2)).select("symbols").coalesce(max(1, total // segment))
     column = lambda df, name: df.select(name).toArrow().column(name).to_numpy().astype(np.int64)
     ngrams = {}
     for n in range(2, depth + 2):
-        told = materialise(ngram_counts(texts, frequent, n, state_share), "lm-told")
+        told = materialise(ngram_counts(texts, frequent, n, state_share, segment=segment), "lm-told")
         unsaid = told.where("key = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         candidates = materialise(told.where((F.col("key") >= 0) & (F.col("c") + unsaid >= state_share * total)).select("key"), "lm-candidates")
         if candidates.count() <= 8 / state_share:
