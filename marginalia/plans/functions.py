@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import sql
-from marginalia.operators import visitor
+from marginalia.operators import keyword, visitor
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import PLACED
 from marginalia.plans.text import CHARS, NAMES
@@ -103,3 +103,23 @@ def u07_image_container(spark, sf_dir):
     back = spark.read.format("images").option("columns_per_task", 40).load(path).where("number % 7 = 3")
     ink = F.expr("aggregate(transform(sequence(1, 64), i -> cast(conv(hex(substring(pixels, i, 1)), 16, 10) AS BIGINT)), 0L, (a, x) -> a + x)")
     return back.select("number", "height", "width", ink.alias("ink"))
+
+
+KEYWORD = f"""{POINTS}, shown AS (SELECT pid AS box, px AS x, py AS y FROM pts WHERE pid % 100 = 50),
+    cut AS (SELECT f, floor(trunc(px - (x + 6)))::INT AS gx, floor(trunc(py - (y + 5)))::INT AS gy FROM shown JOIN pts ON px BETWEEN x AND x + 12 AND py BETWEEN y AND y + 10),
+    model AS (SELECT f, gx, gy, count(*) / (SELECT count(*) FROM shown) AS value FROM cut GROUP BY f, gx, gy),
+    tries AS (SELECT box, k, round(1.0::DOUBLE + k * 0.1::DOUBLE, 9) AS s, x + 6 AS mx, y + 5 AS my FROM boxes CROSS JOIN range(-4, 5) t(k)),
+    seen AS (SELECT box, k, f, floor(round(trunc(px - mx) * s, 9))::INT AS gx, floor(round(trunc(py - my) * s, 9))::INT AS gy FROM tries JOIN pts ON px BETWEEN mx - 12 * s / 2 AND mx - 12 * s / 2 + 12 * s AND py BETWEEN my - 10 * s / 2 AND my - 10 * s / 2 + 10 * s),
+    score AS (SELECT box, k, round(coalesce(v, 0), 9) AS v FROM tries LEFT JOIN (SELECT box, k, avg(coalesce(value, 0)) AS v FROM seen LEFT JOIN model USING (f, gx, gy) GROUP BY box, k) USING (box, k)),
+    row_ AS (SELECT box, list(v ORDER BY k) AS v FROM score GROUP BY box)"""
+#: The list's places 1 to 9 are the steps -4 to 4. A climb ends at the first step that doesn't gain, at the third at the latest.
+@query(f"""WITH {KEYWORD}, way AS (SELECT *, CASE WHEN v[5] >= v[4] AND v[5] >= v[6] THEN 0 WHEN v[4] > v[6] THEN -1 ELSE 1 END AS d FROM row_),
+    stop AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN v[5 + 2 * d] <= v[5 + d] THEN d WHEN v[5 + 3 * d] <= v[5 + 2 * d] THEN 2 * d ELSE 3 * d END AS k FROM way)
+    SELECT box, round(1.0::DOUBLE + k * 0.1::DOUBLE, 9) AS scale, round(v[5 + k], 6) AS score FROM stop""")
+def u08_keyword_climb(spark, sf_dir):
+    """Windows over a page of coded points, each at the scale to which it climbs under a model learnt from other windows."""
+    part = table(spark, sf_dir, "part")
+    points = part.select(F.col("p_partkey").alias("pid"), F.col("p_size").cast("double").alias("px"), (F.col("p_retailprice") / 30).alias("py"), (F.col("p_partkey") % CODES).cast("int").alias("f"))
+    at = lambda rest: points.where(F.col("pid") % 100 == rest).select(F.col("pid").alias("box"), F.col("px").alias("x"), F.col("py").alias("y"))
+    model = keyword.learnt(points, at(50), 12.0, 10.0)
+    return keyword.climbed(points, at(0), model, 12.0, 10.0).withColumn("score", F.round("score", 6))
