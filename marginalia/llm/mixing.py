@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import narrow
+from marginalia.llm.common import free_name, narrow
 from marginalia.runtime import materialise, ship_package
 
 
@@ -43,9 +43,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (5, 2, 1),
-    share: float = 1.5, most: float = 2.0, seed: str = "mix",
+    share: float = 1.5, most: float = 2.0, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``id_col``, source, size, source_size, target, copies.
+    """One row per document: ``id_col``, source, size, source_size, target, copies, and row_ with what ``row_col`` holds, if given.
 
     Each document of a source is expected target / source_size times. Along the order (size, id) of a
     source, the expected copies are prefix-summed, an offset in [0, 1) drawn from ``seed`` and the source's
@@ -60,7 +60,8 @@ def mix(
     table gives an empty result. Other columns are not read.
     """
     ship_package(docs.sparkSession)
-    rows = narrow(docs, id=id_col, text=text_col, source=source_col).select("id", "source", word_count(F.col("text")).alias("size"))
+    row = {"row_": row_col} if row_col else {}
+    rows = narrow(docs, id=id_col, text=text_col, source=source_col, **row).select("id", "source", *row, word_count(F.col("text")).alias("size"))
     position = F.monotonically_increasing_id()
     ordered = rows.repartitionByRange(F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last())
     ordered = materialise(ordered.withColumn("at", position), "mix-ordered").withColumn("task", F.shiftright("at", 33))
@@ -74,13 +75,20 @@ def mix(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     crossed = F.least(F.floor((nth + 1) * rate + offset) - F.floor(nth * rate + offset), F.ceil(F.lit(most)))
     joined = ordered.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
-    return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), *row)
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` with each row as many times as ``mix`` says, so not at all for 0. Up to ``broadcast_rows`` numbers of
-    copies are sent to the texts; with more, the texts are shuffled. Rows that repeat an id get the id's largest number."""
-    copies = materialise(mix(docs, id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0"), "mix-copies")
-    chosen = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
-    met = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__id"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", *, broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """``docs`` with all its columns, each row as many times as ``mix`` says, so not at all for 0.
+
+    Rows are numbered and written once, so each has its own number of copies, also where ids, or whole rows, repeat or are null, and a
+    task run anew meets the same numbers. Up to ``broadcast_rows`` numbers of copies are sent to the texts; with more, the texts are
+    shuffled by row, a key that no two rows share. The columns may have any names. An empty table gives an empty one.
+    """
+    row, copies, copy = names = [free_name([*docs.columns, "row_"], x) for x in ("mix_row", "mix_copies", "mix_copy")]
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    found = mix(numbered, id_col, row_col=row, **options).where("copies > 0").select(F.col("row_").alias(copy), F.col("copies").alias(copies))
+    found = materialise(found, "mix-copies")
+    chosen = F.broadcast(found) if found.count() <= broadcast_rows else found
+    met = numbered.join(chosen, numbered[row] == chosen[copy]).drop(copy)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(*names)

@@ -107,10 +107,19 @@ def _differing(x: Column, y: Column) -> Column:
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
-    """The rows (id, text) of these nodes, one for each."""
+    """The rows (id, text) of these nodes."""
     wanted = materialise(nodes.select(F.col("node").alias("id")).distinct(), "near-wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    return rows.join(chosen, "id", "left_semi").dropDuplicates(["id"])
+    return rows.join(chosen, "id", "left_semi")
+
+
+def _one_text_each(known: DataFrame) -> DataFrame:
+    """(id, text) rows with one for each id: of the texts that share one the first in order, a null after the others."""
+    several = materialise(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "near-repeated")
+    if several.isEmpty():
+        return known
+    first = known.join(several, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return known.join(several, "id", "left_anti").unionByName(first)
 
 
 def _each_shingle(rows: DataFrame, nodes: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
@@ -204,12 +213,14 @@ def near_duplicates(
     documents in question only. ``graph`` tells how large groups are linked without all their pairs.
 
     A null text has no words: no shingles, no links. A null id can't be referred to: its component is
-    null and it is kept. Rows that repeat an id count as one node and are each returned, the set of
-    one of them standing for the id. An empty table gives an empty result; other columns are not read.
+    null and it is kept. Rows that repeat an id are one node and are each returned, alike; of their texts the
+    first in order stands for the id. An empty table gives an empty result; other columns are not read.
     """
     ship_package(docs.sparkSession)
-    rows = narrow(docs, id=id_col, text=text_col)
-    signed = materialise(_signed(rows, width, chunks), "near-signed")
+    every = narrow(docs, id=id_col, text=text_col)
+    known = every.where("id IS NOT NULL")
+    rows = _one_text_each(known)
+    signed = materialise(_signed(every if rows is known else rows.unionByName(every.where("id IS NULL")), width, chunks), "near-signed")
     s = [f"s{i}" for i in range(chunks)]
     able = signed.where("n_shingles > 0 AND id IS NOT NULL")
     nodes = able.groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in s))
@@ -234,6 +245,8 @@ def near_duplicates(
     out = signed.join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     out = out.select("id", "n_shingles", component.alias("component_id"))
+    if rows is not known:
+        out = known.select("id").join(out.where("id IS NOT NULL"), "id").unionByName(out.where("id IS NULL"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

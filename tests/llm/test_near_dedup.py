@@ -66,3 +66,13 @@ def test_awkward_rows(awkward, nothing):
     assert rows == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 3, 3, True), (3, 3, 3, True), (None, 3, None, True), (5, 3, 5, True), (6, 3, 5, False), (7, 0, 7, True), (None, 0, None, True)], key=str)
     assert near_dedup.near_duplicates(nothing).count() == 0
     assert near_dedup.near_dedup(awkward).count() == 8
+
+
+def test_texts_that_share_an_id(spark):
+    """The first text in order stands for the id, whatever the order of the rows."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, b), (1, a), (2, b), (3, a), (4, None), (4, b), (None, a), (None, b)]
+    expected = sorted([(1, 27, 1, True), (1, 27, 1, True), (2, 27, 2, True), (3, 27, 1, False), (4, 27, 2, False), (4, 27, 2, False), (None, 27, None, True), (None, 27, None, True)], key=str)
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), width=4).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == expected

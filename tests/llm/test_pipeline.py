@@ -40,3 +40,37 @@ def test_awkward_tables_run_through_all_stages(spark, small, awkward, nothing):
                 docs = spark.createDataFrame(docs.collect(), docs.schema)
         docs.collect()
     assert corpus_pipeline.quality_rules(spark, awkward, small).columns == awkward.columns
+
+
+def test_every_stage_keeps_any_column(spark, small, texts):
+    """Columns with the names that the operators use for their own, on documents with words, through all stages in order."""
+    from pyspark.sql import functions as F
+
+    names = ["__id", "__copies", "__copy", "__gone", "__version", "number", "row", "row_", "mix_row", "mix_copies", "mix_copy", "MIX_ROW_", "id", "size", "node", "component", "kept", "copies", "n_words"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+        if name != "pack":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert docs.count() and all(r[n] == f"{n}:{r.doc_id}" for r in docs.collect() for n in names)
+    assert docs.count()
+
+
+def test_rows_that_repeat_are_mixed_one_by_one(spark):
+    """The stage takes as many copies as the operator gives, row by row."""
+    rows = [(i % 7 if i % 11 else None, "w " * (i % 13), f"s{i % 2}", i) for i in range(300)] + [(1, None, "s0", 900), (2, "x y", None, 901)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    copies = mixing.mix(docs).groupBy("doc_id", "source", "size").agg({"copies": "sum"}).collect()
+    expected = {(r[0], r[1], r[2]): r[3] for r in copies if r[3]}
+    got = {}
+    for r in mixing.mix_documents(docs).collect():
+        key = (r.doc_id, r.source, len((r.text or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == expected
+    each = {}
+    for r in mixing.mix_documents(docs).collect():
+        each[r.n] = each.get(r.n, 0) + 1
+    assert max(each.values()) <= 2
+    assert mixing.mix_documents(docs.where("false")).count() == 0
