@@ -17,23 +17,43 @@ from marginalia.runtime import ship_package
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: The small labelled table. 1 is a host and path to block.
-LABELLED = (
-    ("news.daily-herald.example.com/en/2024/budget-vote", 0), ("www.cityarchive.example.org/records/1930", 0),
-    ("blog.gardenpath.example.net/en/1204", 0), ("library.example.edu/manuscripts/letters", 0), ("m.weather.example.net/de/8831", 0),
-    ("recipes.example.com/fr/soupe/212.html", 0), ("docs.softlib.example.org/en/guide/", 0), ("thermal.example.net/es/3311", 0),
-    ("www.theatre.example.com/fr/98", 0), ("tionary.example.org/de/455.html", 0), ("thinker.example.net/en/7813", 0),
-    ("history.example.org/en/page/77", 0), ("www.museum.example.net/fr/visit", 0), ("forum.cyclists.example.com/t/4412", 0),
-    ("health.example.gov/en/advice/55", 0), ("www.thread.example.com/en/930", 0), ("m.thorn.example.org/fr/120", 0),
-    ("blog.station.example.com/es/66", 0), ("maps.example.net/en/roads", 0), ("science.example.edu/papers/18", 0),
-    ("ads-track.example.com/en/1", 1), ("m.ads-track.example.com/en/40021", 1), ("www.ads-server.example.net/click", 1),
-    ("track.adserver.example.com/pixel", 1), ("ads.banner-click.example.net/en/31", 1), ("free-bets.example.com/en/27", 1),
-    ("m.free-bets.example.com/de/216.html", 1), ("www.free-casino.example.com/es/9", 1), ("casino-bonus.example.net/en/play", 1),
-    ("best-bets.example.com/win/now", 1), ("cheap-pills.example.com/en/55", 1), ("www.pills-shop.example.net/buy", 1),
-    ("buy-cheap-pills.example.org/de/3", 1), ("xxx-cams.example.com/live", 1), ("adult-cams.example.net/fr/8", 1),
-    ("free-porn.example.com/en/1", 1), ("win-prize.example.com/claim", 1), ("free-prize-win.example.net/en/44", 1),
-    ("click-track.example.com/redirect", 1), ("popads.example.net/banner", 1),
+#: Words of the labelled table. A host is to block if it has a word of BLOCKED; WEAK words stand in both kinds of host, and
+#: many of ALLOWED hold a blocked or weak word's letters.
+BLOCKED = ("ads", "adult", "adserver", "banners", "bets", "betting", "bingo", "cams", "casino", "cialis", "escorts", "jackpot", "malware", "phishing", "pills", "poker", "popads", "popunder", "porn", "roulette", "slots", "spam", "viagra", "xxx")
+WEAK = ("best", "bonus", "buy", "cheap", "claim", "click", "free", "hot", "live", "online", "play", "prize", "shop", "track", "win")
+ALLOWED = (
+    "address", "adulthood", "adventure", "alphabets", "archive", "beads", "bicycle", "bookclick", "broadsheet", "budget", "cambridge", "camera", "campus", "casing", "caterpillar", "chemistry", "clicker", "council", "daily", "essex",
+    "essays", "forum", "freedom", "freelance", "garden", "hardware", "headlines", "health", "herald", "history", "hospital", "kitchen", "library", "liverpool", "manuscripts", "maps", "meadows", "middlesex", "museum", "music", "news", "nurses",
+    "onlooker", "papers", "pillar", "pillow", "player", "pokemon", "poetry", "porcelain", "prizewinners", "railroads", "recipes", "records", "roads", "science", "school", "sextant", "shipping", "slotcar", "soundtrack", "spaniel", "sports", "station", "street", "sussex", "teachers",
+    "theatre", "theory", "thermal", "threads", "trackandfield", "travel", "weather", "wildlife", "windows", "winter", "workshop",
 )
+#: Of these, words are made up that mean nothing.
+SYLLABLES = ("a", "al", "an", "ar", "as", "be", "ble", "ca", "ed", "el", "en", "er", "es", "ha", "he", "her", "hon", "in", "ing", "is", "la", "le", "li", "ly", "ma", "nd", "ne", "nt", "on", "or", "ou", "ra", "re", "ri", "ro", "se", "sh", "st", "ta", "te", "th", "ti", "tion", "to", "un", "ve", "wh")
+
+
+def labelled(parts: Sequence[int] = (0, 1, 2, 3)) -> list[tuple[str, str, int]]:
+    """The small labelled table by rule: host, path and 1 for what is to block, in four parts told apart by a hash of the host.
+
+    Blocked words go with weak ones; allowed and made-up words alone, in pairs and with weak ones. Subdomains, endings and
+    paths are dealt by the hash, alike for both labels, so that they say nothing.
+    """
+    names: dict[str, int] = {}
+    for b in BLOCKED:
+        names |= {b: 1, f"my{b}": 1} | {f"{x}{dash}{y}": 1 for w in WEAK for x, y in ((w, b), (b, w)) for dash in ("-", "")}
+    made = ["".join(SYLLABLES[zlib.crc32(f"{i}:{k}".encode()) % len(SYLLABLES)] for k in range(2 + i % 3)) for i in range(700)]
+    plain = [*ALLOWED, *made]
+    for i, g in enumerate(plain):
+        other, w = plain[zlib.crc32(f"{g}:{i}".encode()) % len(plain)], WEAK[i % len(WEAK)]
+        names |= {g: 0} | ({f"{g}-{other}": 0, f"{w}-{g}": 0, f"{g}-{w}": 0} if i < len(ALLOWED) or i % 4 == 0 else {})
+    names |= {w: 0 for w in WEAK}
+    out = []
+    for name, y in names.items():
+        h = zlib.crc32(name.encode())
+        if (h >> 3) % 4 in parts:
+            lead, end = ("", "www.", "m.", "blog.")[h % 4], ("example.com", "example.net", "example.org", "com", "net", "pages.example.com", "host.example.net")[h // 4 % 7]
+            path = ("/", "/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/page/{}")[h // 32 % 6].format(h // 256 % 10_000)
+            out.append((f"{lead}{name}.{end}", path, y))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,19 +101,22 @@ def features(host: str, path: str, sizes: Sequence[int], bits: int) -> np.ndarra
     return np.unique(np.fromiter((zlib.crc32(g) & ((1 << bits) - 1) for g in grams), dtype=np.int64, count=len(grams)))
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, *, sizes: Sequence[int] = (3, 4), bits: int = 14, rounds: int = 300, rate: float = 1.0, l2: float = 0.002) -> UrlModel:
-    """Full-batch logistic regression over the (small) labelled table of ``host/path`` and label."""
-    rows = [features(*u.partition("/")[::2], sizes, bits) if "/" not in u else features(u[: u.index("/")], u[u.index("/") :], sizes, bits) for u, _ in labelled]
-    y = np.array([v for _, v in labelled], dtype=float)
-    x = np.zeros((len(rows), 1 << bits))
-    for i, r in enumerate(rows):
-        x[i, r] = 1 / np.sqrt(max(len(r), 1))
-    w, bias = np.zeros(1 << bits), 0.0
+def train(rows: Sequence[tuple[str, str, int]] | None = None, *, sizes: Sequence[int] = (3, 4), bits: int = 16, rounds: int = 600, rate: float = 2.0, l2: float = 1e-5) -> UrlModel:
+    """Full-batch logistic regression over the (small) labelled table of host, path and label."""
+    rows = labelled() if rows is None else rows
+    slots = [features(host, path, sizes, bits) for host, path, _ in rows]
+    y = np.array([v for *_, v in rows], dtype=float)
+    used, place = np.unique(np.concatenate(slots), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in slots])
+    value = 1 / np.sqrt(np.array([max(len(r), 1) for r in slots], dtype=float))[row]
+    w, bias = np.zeros(len(used)), 0.0
     for _ in range(rounds):
-        gap = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        w -= rate * (x.T @ gap / len(y) * 4 + l2 * w)
+        gap = 1 / (1 + np.exp(-(np.bincount(row, value * w[place], len(rows)) + bias))) - y
+        w -= rate * (np.bincount(place, value * gap[row], len(used)) / len(y) * 16 + l2 * w)
         bias -= rate * gap.mean()
-    return UrlModel(w, bias, tuple(sizes), bits)
+    whole = np.zeros(1 << bits)
+    whole[used] = w
+    return UrlModel(whole, bias, tuple(sizes), bits)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
@@ -101,7 +124,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The longest fitting rule decides; where none fits, the model blocks urls whose probability
     reaches ``threshold``. score is that probability, given for every row. Null urls and urls without
-    ``://`` have an empty host and path, which no rule fits; the model judges them like any other.
+    ``://`` have an empty host and path, which no rule fits; the model judges them like any other. Of equal rules the first
+    counts, of rules of one length that fit the first in order. Urls are read whole, however long.
     Repeated rows are judged one by one, an empty table gives an empty result, and only the two
     named columns are read. The model (at most ``2 ** bits`` weights) travels with the task.
     """

@@ -176,3 +176,16 @@ def test_the_vote_adds_what_the_patterns_miss(spark):
     assert not any(got[i] for i in range(120, 180))
     s = got[60][0]
     assert pii.redact(rows[60], [(s.kind, s.start, s.end)]) == "contact [EMAIL]"
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Trained on three parts of the labelled table; the fourth shares no host with them. And made-up hosts of the pages stay."""
+    seen, new = url_filter.labelled((0, 1, 2)), url_filter.labelled((3,))
+    assert not {h for h, *_ in seen} & {h for h, *_ in new} and len(new) > 500
+    model = url_filter.train(seen)
+    assert np.mean([(model.margin(h, p) > 0) == bool(y) for h, p, y in new]) >= 0.95
+    rows = queries.op2_url_filter(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    odd = {r.host for r in rows if r.verdict == "block"}
+    assert odd and all("-" in h for h in odd)
+    harmless = ("bookclick.example.com", "trackandfield.example.com", "winter.example.com", "freedom.example.org", "roads.example.net")
+    assert all(url_filter.train().margin(h, "/en/12") < 0 for h in harmless) and all(url_filter.train().margin(h, "/en/12") > 0 for h in ("viagra.example.net", "poker-online.example.net"))
