@@ -101,3 +101,17 @@ def quadratic_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
     b = f"((n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2))/{det})"
     c = f"((n*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2))/{det})"
     return s.select(F.expr(f"round({a} - {b}*mx + {c}*mx*mx, 2)").alias("c0"), F.expr(f"round({b} - 2*{c}*mx, 4)").alias("c1"), F.expr(f"round({c}, 5)").alias("c2"))
+
+
+def ink_spread(profiles: DataFrame, word: list[str], at: str, ink: str) -> DataFrame:
+    """``word``, centre, spread: the centre of mass of each word's profile (rows ``at`` with their ``ink``) and the ink's standard deviation
+    around it. Sums of ink, ink times place and ink times its square are added before the shuffle; words without ink are left out."""
+    p, w = F.col(at).cast("double"), F.col(ink).cast("double")
+    sums = profiles.groupBy(*word).agg(F.sum(w).alias("__w"), F.sum(w * p).alias("__wp"), F.sum(w * p * p).alias("__wpp")).where("__w > 0")
+    centre = F.col("__wp") / F.col("__w")
+    return sums.select(*word, centre.alias("centre"), F.sqrt(F.greatest(F.col("__wpp") / F.col("__w") - centre * centre, F.lit(0.0))).alias("spread"))
+
+
+def page_spread(profiles: DataFrame, page: str, word: str, at: str, ink: str) -> DataFrame:
+    """``page``, n_words, mean_spread: the mean over a page's words of their inks' spreads."""
+    return ink_spread(profiles, [page, word], at, ink).groupBy(page).agg(F.count("*").alias("n_words"), F.avg("spread").alias("mean_spread"))

@@ -93,3 +93,18 @@ def thinned(rows: DataFrame, order: str, steps: Sequence[int]) -> DataFrame:
     for s in steps:
         keep = keep | (place % s == 0)
     return positions(rows, order).where(keep).drop("rn")
+
+
+def joined_places(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The places of either partition, each once."""
+    return a.select(*keys).unionByName(b.select(*keys)).distinct()
+
+
+def cleared_places(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The places of ``a``, each once, without those of ``b``."""
+    return a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti")
+
+
+def place_bounds(places: DataFrame, x: str, y: str) -> DataFrame:
+    """n, left, right, upper, lower of a partition; an empty one has no bounds."""
+    return places.agg(F.count("*").alias("n"), F.min(x).alias("left_x"), F.max(x).alias("right_x"), F.min(y).alias("upper_y"), F.max(y).alias("lower_y"))

@@ -249,3 +249,22 @@ def j10_lookup_counts(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("suppliers"))
     met = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return met.select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("""WITH w AS (SELECT l_suppkey, l_partkey, sum(l_quantity)::DOUBLE AS m, sum(l_quantity::DOUBLE * l_linenumber) / sum(l_quantity)::DOUBLE AS c FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0),
+    s AS (SELECT l_suppkey, l_partkey, sqrt(sum(l_quantity::DOUBLE * (c - l_linenumber) * (c - l_linenumber)) / any_value(m)) AS spread FROM lineitem JOIN w USING (l_suppkey, l_partkey) GROUP BY ALL)
+    SELECT l_suppkey, count(*) AS n_words, round(avg(spread), 5) AS mean_spread FROM s GROUP BY l_suppkey""")
+def s15_ink_spread(spark, sf_dir):
+    """Suppliers as pages, parts as words, quantities by line number as profiles of ink."""
+    return stats.page_spread(lines(spark, sf_dir), "l_suppkey", "l_partkey", "l_linenumber", "l_quantity").withColumn("mean_spread", F.round("mean_spread", 5))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS x, l_linenumber AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS x, l_linenumber AS y FROM lineitem WHERE l_quantity > 25),
+    j AS (SELECT 'joined' AS kind, x, y FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'cleared', x, y FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
+    SELECT kind, count(*) AS n, min(x) AS left_x, max(x) AS right_x, min(y) AS upper_y, max(y) AS lower_y FROM j GROUP BY kind""")
+def j11_partitions(spark, sf_dir):
+    """Two partitions of places put together, and one cleared of the other's."""
+    d = lines(spark, sf_dir).select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), "l_returnflag", "l_quantity")
+    a, b = d.where("l_returnflag = 'R'"), d.where("l_quantity > 25")
+    both = [(kind, tables.place_bounds(f(a, b, ["x", "y"]), "x", "y")) for kind, f in (("joined", tables.joined_places), ("cleared", tables.cleared_places))]
+    return both[0][1].withColumn("kind", F.lit(both[0][0])).unionByName(both[1][1].withColumn("kind", F.lit(both[1][0]))).select("kind", "n", "left_x", "right_x", "upper_y", "lower_y")
