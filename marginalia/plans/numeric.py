@@ -153,7 +153,15 @@ def w08_iou_pairs(spark, sf_dir):
     return spans.overlapping_pairs(hits(spark, sf_dir), "user_id", 100, 0.55).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+AT = "list_position(list_transform(acc, lambda k: coalesce((least(k.e, x[1].e) - greatest(k.s, x[1].s)) / nullif(greatest(k.e, x[1].e) - least(k.s, x[1].s), 0), 0) > 0.55::DOUBLE), true)"
+
+
+@query(f"""WITH h AS (SELECT user_id, event_id AS id, floor(value * 20)::DOUBLE AS s, floor(value * 20)::DOUBLE + 40 + event_id % 60 AS e, value::DOUBLE AS score FROM events),
+    one AS (SELECT user_id, list([struct_pack(s := s, e := e, score := score, best := score, n := 1)] ORDER BY id) AS hs FROM h GROUP BY user_id),
+    kept AS (SELECT user_id, unnest(list_reduce(hs, lambda acc, x: CASE WHEN coalesce({AT}, 0) > 0 THEN list_transform(acc, lambda k, i: CASE WHEN i = {AT} THEN
+        struct_pack(s := CASE WHEN x[1].score > k.best THEN x[1].s ELSE k.s END, e := CASE WHEN x[1].score > k.best THEN x[1].e ELSE k.e END, score := (k.score + x[1].score) / 2, best := greatest(k.best, x[1].score), n := k.n + 1) ELSE k END)
+        ELSE list_concat(acc, x) END)) AS k FROM one)
+    SELECT user_id, k.s AS s, k.e AS e, k.score AS score, k.n AS n FROM kept""")
 def w09_merged_hits(spark, sf_dir):
     return spans.merged_hits(hits(spark, sf_dir), "user_id")
 
