@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import BIGRAM_SHARE, HARD_SHARE, PHOC_ALPHABET, PHOC_BIGRAM_LEVELS, PHOC_LEVELS, bare_word, clean_words, ngrams, normalised_levenshtein, partial_pattern, positions
+from marginalia.operators.tables import running_before
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,9 +108,10 @@ def nearest_word(labels: DataFrame, lex: DataFrame) -> DataFrame:
 
 
 def class_ids(words: DataFrame, key: str, order: str) -> DataFrame:
-    """``key``, first, class_id (from 1 in order of first appearance), n."""
+    """``key``, first, class_id (from 1 in order of first appearance), n. The numbers come from a range sort, not from one task."""
     each = words.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    return each.withColumn("class_id", F.row_number().over(Window.orderBy("first", key)))
+    placed = running_before(each.withColumn("one", F.lit(1)), (), ("first", key), ("one",))
+    return placed.select(key, "first", "n", (F.col("one_before") + 1).alias("class_id"))
 
 
 def spotted(words: DataFrame, grams: DataFrame, id_col: str, recall: float, seed: str = "spot") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import ngrams
-from marginalia.operators import ranking, selection, text_ops
+from marginalia.operators import ranking, selection, tables, text_ops
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import BENCH_WORDS, PLACED, RANKED, by_example, items, mid_tie
 from marginalia.runtime import table
@@ -226,10 +226,9 @@ def p28_energy_normalised(spark, sf_dir):
 @query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS first, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS past FROM documents")
 def p29_offsets(spark, sf_dir):
     """Where each document begins and ends if those of a source are laid end to end."""
-    from pyspark.sql import Window
-
-    past = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", (past - F.col("n_chars")).cast("long").alias("first"), past.cast("long").alias("past"))
+    laid = tables.running_before(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ("source",), ("doc_id",), ("n_chars",))
+    first = F.col("n_chars_before")
+    return laid.select("source", "doc_id", first.cast("long").alias("first"), (first + F.col("n_chars")).cast("long").alias("past"))
 
 
 @query(f"WITH {PLACED} SELECT query, place, item, score FROM placed WHERE place <= 5")
