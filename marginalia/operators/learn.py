@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import dot, doubles
+from marginalia.operators import blocks
 from marginalia.runtime import ship_package
 
 
@@ -118,7 +119,9 @@ def random_features(rows: DataFrame, column: str, m: int, gamma: float = 1.0, se
 def lsh_neighbours(rows: DataFrame, queries: DataFrame, id_col: str, column: str, k: int, *, tables: int = 24, width: float = 0.8, seed: int = 7) -> DataFrame:
     """query, item, d: the k nearest rows that share a random-projection bucket with the query, distances exact."""
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(with_vector(rows, column))
-    near = model.approxSimilarityJoin(with_vector(queries, column), with_vector(rows, column), 1e9, distCol="d").select(F.col(f"datasetA.{id_col}").alias("query"), F.col(f"datasetB.{id_col}").alias("item"), "d").where("query <> item")
+    hashed = lambda r: model.transform(with_vector(r, column)).select(id_col, column, F.transform("h", lambda h: vector_to_array(h)[0]).alias("h"))
+    asked = hashed(queries).select(F.col(id_col).alias("query"), F.col(column).alias("qv"), F.col("h").alias("qbuckets"))
+    near = blocks.sharing(asked, hashed(rows).select(F.col(id_col).alias("item"), F.col(column).alias("v"), F.col("h").alias("buckets")), k)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "item"))
     return near.withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
 
