@@ -42,7 +42,7 @@ def p03_rows_by_id(spark, sf_dir):
 @query(f"WITH {PLACED}, t AS (SELECT query, item, place, score FROM placed WHERE place <= 10) SELECT query, item, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE 1 - (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS shown FROM t WINDOW w AS (PARTITION BY query)")
 def p04_rescaled_top(spark, sf_dir):
     """The ten best of each query with scores for display."""
-    top = ranking._placed(by_example(spark, sf_dir), ("query",)).where("place <= 10")
+    top = ranking.searched_places(*by_example(spark, sf_dir), 10)
     return selection.rescaled(top, ["query"], "score").select("query", "item", F.round("shown", 6).alias("shown"))
 
 
@@ -137,7 +137,7 @@ def p17_min_max_scaled(spark, sf_dir):
 @query(f"WITH {RANKED}, {mid_tie('r', 'query')} SELECT label, round(avg(ap), 6) AS ap FROM aps JOIN embeddings ON vec_id = query GROUP BY label")
 def p18_ap_by_column(spark, sf_dir):
     """One precision for each class: the mean of its queries'."""
-    aps = ranking.mid_tie_ap(by_example(spark, sf_dir))
+    aps = ranking.searched_ap(*by_example(spark, sf_dir))
     return aps.join(items(spark, sf_dir).select(F.col("item").alias("query"), "label"), "query").groupBy("label").agg(F.round(F.avg("ap"), 6).alias("ap"))
 
 
@@ -155,7 +155,7 @@ def p20_winners(spark, sf_dir):
     from pyspark.sql import Window
 
     each = items(spark, sf_dir)
-    won = ranking.precision_at_1(by_example(spark, sf_dir)).join(each.select(F.col("item").alias("query"), "label"), "query").join(each.select(F.col("item").alias("best"), F.col("label").alias("winner")), "best")
+    won = ranking.searched_places(*by_example(spark, sf_dir), 1).select("query", F.col("item").alias("best")).join(each.select(F.col("item").alias("query"), "label"), "query").join(each.select(F.col("item").alias("best"), F.col("label").alias("winner")), "best")
     n = won.groupBy("label", "winner").agg(F.count("*").alias("wins"))
     return n.withColumn("share", F.round(F.col("wins") / F.sum("wins").over(Window.partitionBy("label")), 6))
 
@@ -212,7 +212,7 @@ def p26_recognition(spark, sf_dir):
 @query(f"WITH {RANKED}, s AS (SELECT relevant, avg(score) AS m, stddev_pop(score) AS sd FROM r GROUP BY relevant) SELECT relevant, round(m, 6) AS mean, round(sd, 6) AS sd FROM s")
 def p27_two_score_sets(spark, sf_dir):
     """Mean and population deviation of the scores of right and of wrong items."""
-    return by_example(spark, sf_dir).groupBy("relevant").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"))
+    return ranking.similarity(*by_example(spark, sf_dir)).groupBy("relevant").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"))
 
 
 @query(f"WITH {LINES}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id AS item, round(CASE WHEN n > 0 THEN e[1] / n ELSE 0 END, 6) AS x1, round(n, 6) AS energy FROM n")
@@ -233,7 +233,7 @@ def p29_offsets(spark, sf_dir):
 
 @query(f"WITH {PLACED} SELECT query, place, item, score FROM placed WHERE place <= 5")
 def p30_top_five(spark, sf_dir):
-    return ranking._placed(by_example(spark, sf_dir), ("query",)).where("place <= 5").select("query", F.col("place").cast("long").alias("place"), "item", "score")
+    return ranking.searched_places(*by_example(spark, sf_dir), 5).select("query", F.col("place").cast("long").alias("place"), "item", "score")
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS e1, 10.0::DOUBLE AS s2, 10.0::DOUBLE + l_quantity AS e2, l_quantity::DOUBLE / 2 AS s1 FROM lineitem),
