@@ -96,8 +96,9 @@ class Bag:
     def start(self) -> np.ndarray:
         return np.zeros(len(self.weights))
 
-    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return state + np.bincount(codes.astype(np.int64), minlength=len(state))
+    def step(self, state: np.ndarray, codes: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """``times``: how many points of the code a row stands for."""
+        return state + np.bincount(codes.astype(np.int64), times, minlength=len(state))
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a + b

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import sql
-from marginalia.operators import keyword, visitor
+from marginalia.operators import keyword, tables, visitor
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import PLACED
 from marginalia.plans.text import CHARS, NAMES
@@ -77,7 +77,10 @@ def u05_bag_detection(spark, sf_dir):
     for r in counted:
         n[r.f], seen[r.f], weights[r.f] = r.n, r.seen, np.log(total / r.n) + 1
     bag = visitor.Bag(weights, visitor.unit_bag(seen, weights))
-    return visitor.visited(points, boxes, 5.0, 4.0, bag, ("f",)).select("box", F.round("value", 6).alias("score"))
+    # points at one place, and boxes at one place, meet once
+    every, firsts = tables.one_of_each(boxes)
+    found = visitor.visited(points.groupBy("px", "py", "f").agg(F.count("*").alias("k")), firsts, 5.0, 4.0, bag, ("f", "k")).withColumnRenamed("box", "first")
+    return every.join(found, "first").select("box", F.round("value", 6).alias("score"))
 
 
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings WHERE vec_id BETWEEN 40 AND 299")
