@@ -66,6 +66,12 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, w: float, h: float, col
     return at.join(spread, ["cx", "cy"]).where(inside).select("box", *columns)
 
 
+def one_of_each(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """box and first of all boxes (box, x, y), first being the least box at the same place, and box, x, y of the firsts: what holds for one holds for all there."""
+    marked = materialise(boxes.select("box", "x", "y", F.min("box").over(Window.partitionBy("x", "y")).alias("first")), "box-places")
+    return marked.select("box", "first"), marked.where("box = first").select("box", "x", "y")
+
+
 def mask_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """common, joint, iou of two sets of places."""
     each = a.select(*keys, F.lit(1).alias("ina"), F.lit(0).alias("inb")).union(b.select(*keys, F.lit(0), F.lit(1)))

@@ -210,7 +210,10 @@ def j03_range_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     points = p.select(F.col("p_partkey").alias("pid"), F.col("p_size").cast("double").alias("px"), (F.col("p_retailprice") / 30).alias("py"))
     boxes = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("box"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 30).alias("y"))
-    return tables.points_in_boxes(points, boxes, 5.0, 4.0).groupBy("box").agg(F.count("*").alias("n"))
+    # points at one place, and boxes at one place, meet once
+    every, firsts = tables.one_of_each(boxes)
+    met = tables.points_in_boxes(points.groupBy("px", "py").agg(F.count("*").alias("k")), firsts, 5.0, 4.0, ("k",)).groupBy("box").agg(F.sum("k").alias("n"))
+    return every.join(met.withColumnRenamed("box", "first"), "first").select("box", "n")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS x, l_linenumber AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS x, l_linenumber AS y FROM lineitem WHERE l_quantity > 25)
