@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from marginalia import plans
-from marginalia.operators import blocks, learn, ranking
+from marginalia.operators import blocks, frontends, learn, ranking
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,18 @@ def test_neighbours_meet_once(spark):
     got = learn.lsh_neighbours(rows, rows.where("item % 100 = 0"), "item", "v", 2)
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["query"], r["item"]) for r in got.collect()) == [(0, 1), (0, 2), (100, 99), (100, 101), (200, 199), (200, 201)]
+
+
+def test_front_ends_hold_few_products(spark, monkeypatch):
+    """All queries of a block were in one product before."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, str(i % 3), rng.normal(size=4).tolist()) for i in range(90)], "item long, label string, v array<double>")
+    texts = spark.createDataFrame([], "label string, y array<double>")
+    raw = frontends.FrontEnd("features", lambda v: v, None)
+    got = {}
+    for n in (frontends.TOGETHER, 7, 1000):
+        monkeypatch.setattr(frontends, "TOGETHER", n)
+        got[n] = sorted((r["query"], r["item"], r["score"]) for r in frontends.scores(rows, rows, texts, [raw], "item", "v", "label").collect())
+    assert frontends.NAMES and len(got[7]) == 90 * 89
+    for n in got:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 for a, b in zip(got[n], got[1000], strict=True))
