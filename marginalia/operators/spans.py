@@ -91,21 +91,45 @@ def merged_hits(hits: DataFrame, by: str, least: float = 0.55) -> DataFrame:
     """``by``, s, e, score, n after folding hits (id, s, e, score) in order of id: a hit that overlaps a kept one by more
     than ``least`` joins the first such, keeping the better box and averaging the two scores.
 
-    The order matters, so a ``by`` is one fold; it runs as an aggregate over the hits' array, which is as long as one
-    image has hits.
+    The order matters, so a ``by`` is one fold, in one task; a hit is held against all kept ones at once, in numpy columns. As in
+    SQL, extremes pass over nulls, and a score that is null or was averaged with one stays null.
     """
-    one = F.struct(F.col("id"), F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), F.col("score").cast("double").alias("score"))
-    grouped = hits.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("h"))
-    none = F.expr("cast(array() as array<struct<s:double,e:double,score:double,best:double,n:int>>)")
-
-    def fold(kept: Column, h: Column) -> Column:
-        at = F.transform(kept, lambda k, i: F.when(F.coalesce(interval_iou(k["s"], k["e"], h["s"], h["e"]), F.lit(0.0)) > least, i))
-        first = F.array_min(F.filter(at, lambda i: i.isNotNull()))
-        better = lambda k: h["score"] > k["best"]
-        joined = F.transform(kept, lambda k, i: F.when(i == first, F.struct(F.when(better(k), h["s"]).otherwise(k["s"]).alias("s"), F.when(better(k), h["e"]).otherwise(k["e"]).alias("e"), ((k["score"] + h["score"]) / 2).alias("score"), F.greatest(k["best"], h["score"]).alias("best"), (k["n"] + 1).alias("n"))).otherwise(k))
-        return F.when(first.isNotNull(), joined).otherwise(F.concat(kept, F.array(F.struct(h["s"].alias("s"), h["e"].alias("e"), h["score"].alias("score"), h["score"].alias("best"), F.lit(1).alias("n")))))
-
-    return grouped.select(by, F.explode(F.aggregate("h", none, fold)).alias("k")).select(by, "k.s", "k.e", "k.score", "k.n")
+    one = hits.select(by, "id", *[F.col(c).cast("double").alias(c) for c in ("s", "e", "score")])
+
+    def folded(key, table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("id", "s", "e", "score")], null_placement="at_start"))
+        starts, ends = (table.column(c).to_numpy() for c in ("s", "e"))
+        box, scores, best, n = np.zeros((2, 64)), [], [], []
+        # NaN is the largest number to Spark
+        larger = lambda x, y: x is not None and y is not None and (x > y or (x != x and y == y))
+        for s, e, score in zip(starts, ends, table.column("score").to_pylist(), strict=True):
+            k = box[:, : len(n)]
+            joint = np.fmax(k[1], e) - np.fmin(k[0], s)
+            over = np.divide(np.fmin(k[1], e) - np.fmax(k[0], s), joint, out=np.zeros(len(n)), where=joint != 0) > least
+            at = int(over.argmax()) if len(n) else 0
+            if len(n) and over[at]:
+                if larger(score, best[at]):
+                    box[:, at] = s, e
+                if best[at] is None or larger(score, best[at]):
+                    best[at] = score
+                scores[at] = None if score is None or scores[at] is None else (scores[at] + score) / 2
+                n[at] += 1
+            else:
+                if len(n) == box.shape[1]:
+                    box = np.concatenate([box, np.zeros_like(box)], axis=1)
+                box[:, len(n)] = s, e
+                scores.append(score), best.append(score), n.append(1)
+        kept = [pa.array(box[j, : len(n)], pa.float64(), from_pandas=True) for j in (0, 1)]
+        names = pa.array([key[0].as_py()] * len(n), table.schema.field(by).type)
+        return pa.table([names, *kept, pa.array(scores, pa.float64()), pa.array(n, pa.int32())], names=[by, "s", "e", "score", "n"])
+
+    # by number, as little data would be few tasks, which is much to work on
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return one.repartition(parts, by).groupBy(by).applyInArrow(folded, f"`{by}` {one.schema[by].dataType.simpleString()}, s double, e double, score double, n int")
 
 
 def smallest_interval(mass: DataFrame, by: str, at: str, weight: str, share: float) -> DataFrame:
