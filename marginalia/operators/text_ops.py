@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import BIGRAM_SHARE, HARD_SHARE, PHOC_ALPHABET, PHOC_BIGRAM_LEVELS, PHOC_LEVELS, bare_word, clean_words, ngrams, normalised_levenshtein, partial_pattern, positions
 from marginalia.operators.tables import running_before
+from marginalia.runtime import materialise, small
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,37 +116,43 @@ def class_ids(words: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def spotted(words: DataFrame, grams: DataFrame, id_col: str, recall: float, seed: str = "spot") -> DataFrame:
-    """id, word, at, gram: occurrences of the n-grams, each found with probability ``recall``, drawn from a hash of
-    (seed, n-gram, id, place), so that runs and engines agree."""
-    hits = words.join(F.broadcast(grams.select("ngram")), F.col("word").contains(F.col("ngram"))).select(id_col, "word", F.explode(positions(F.col("word"), F.col("ngram"), overlapping=False)).alias("at"), F.col("ngram").alias("gram"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "gram", F.col(id_col).cast("string"), F.col("at").cast("string"))), 1, 7), 16, 10).cast("double") / float(16**7)
-    return hits.where(draw < recall)
+    """The words (id, word) with hits, the array of (at, gram) of the n-grams' occurrences that are found, by place.
+
+    Each is found with probability ``recall``, drawn from a hash of (seed, n-gram, id, place), so that runs and engines agree. Where the
+    n-grams stand is worked out once for words written alike; no row per occurrence is made.
+    """
+    met = words.select("word").distinct().join(F.broadcast(grams.select("ngram")), F.col("word").contains(F.col("ngram")))
+    each = met.select("word", F.explode(positions(F.col("word"), F.col("ngram"), overlapping=False)).alias("at"), F.col("ngram").alias("gram"))
+    places = each.groupBy("word").agg(F.array_sort(F.collect_set(F.struct("at", "gram"))).alias("all"))
+    draw = lambda h: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), h["gram"], F.col(id_col).cast("string"), h["at"].cast("string"))), 1, 7), 16, 10).cast("double") / float(16**7)
+    return words.join(small(places), "word", "left").select(*words.columns, F.filter("all", lambda h: draw(h) < recall).alias("hits"))
 
 
 def simulate_step(words: DataFrame, grams: DataFrame, lex: DataFrame, id_col: str, *, recall: float = 0.5, few: int = 10, pad: int = 0) -> DataFrame:
     """id, n_letters, spotted_share, n_candidates, transcribed of each word after one pass over the n-grams.
 
     The candidates of a word are the lexicon words that fit the anchored pattern of what was spotted; up to ``few`` of
-    them mean that it can be transcribed. Equal patterns of equal length are matched once.
+    them mean that it can be transcribed. Equal hits in words of equal length are worked out once, equal patterns are matched once.
     """
-    hits = spotted(words, grams, id_col, recall)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), (F.col("at") + F.char_length("gram") - 1).cast("int"))))))
+    words = materialise(words.select(id_col, "word"), "step-words")
+    n_letters = F.char_length("word")
+    each = materialise(spotted(words, grams, id_col, recall).select(id_col, n_letters.alias("n_letters"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits")), "step-hits")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + F.char_length(h["gram"]) - 1)))))
     # overlapping hits can't stand one after the other in a pattern: the leftmost ones are taken
-    firsts = F.array_sort(F.collect_set(F.struct("at", "gram")))
-    each = hits.groupBy(id_col, "word").agg(firsts.alias("hits"), covered.alias("n_spotted"))
     none = F.expr("cast(array() as array<struct<at:int,gram:string>>)")
     apart = F.aggregate("hits", none, lambda done, h: F.when((F.size(done) == 0) | (h["at"] >= F.try_element_at(done, F.lit(-1))["at"] + F.char_length(F.try_element_at(done, F.lit(-1))["gram"])), F.concat(done, F.array(h))).otherwise(done))
-    each = each.withColumn("n_letters", F.char_length("word")).withColumn("pattern", partial_pattern(apart, F.char_length("word"), pad))
-    patterns = each.select("pattern", "n_letters").distinct()
+    kinds = each.where("hits IS NOT NULL").select("n_letters", "hits").distinct()
+    kinds = materialise(kinds.select("n_letters", "hits", covered.alias("n_spotted"), partial_pattern(apart, F.col("n_letters"), pad).alias("pattern")), "step-kinds")
+    patterns = kinds.select("pattern", "n_letters").distinct()
     # padding lets a word be longer or shorter: each pattern asks for every length it may have
     asked = patterns.withColumn("size", F.explode(F.sequence(F.col("n_letters") - 20 * pad, F.col("n_letters") + 20 * pad)))
     fits = asked.join(lex.withColumn("size", F.char_length("word")), "size").where(F.expr("regexp_like(word, pattern)"))
     counted = fits.groupBy("pattern", "n_letters").agg(F.count("*").alias("n_candidates"))
-    out = words.join(each.drop("word"), id_col, "left").join(counted, ["pattern", "n_letters"], "left")
-    letters = F.char_length("word")
-    share = F.round(F.coalesce(F.col("n_spotted"), F.lit(0)) / letters, 6)
+    known = materialise(kinds.join(counted, ["pattern", "n_letters"], "left"), "step-known")
+    out = each.join(small(known, 500_000), ["n_letters", "hits"], "left")
+    share = F.round(F.coalesce(F.col("n_spotted"), F.lit(0)) / F.col("n_letters"), 6)
     n = F.coalesce("n_candidates", F.lit(0))
-    return out.select(id_col, letters.alias("n_letters"), share.alias("spotted_share"), n.alias("n_candidates"), (F.col("pattern").isNotNull() & (n <= few)).alias("transcribed"))
+    return out.select(id_col, "n_letters", share.alias("spotted_share"), n.alias("n_candidates"), (F.col("pattern").isNotNull() & (n <= few)).alias("transcribed"))
 
 
 def progress_buckets(step: DataFrame) -> DataFrame:
