@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from marginalia.llm.common import narrow, text_chunks
 from marginalia.llm.graph import linked_components
-from marginalia.runtime import materialise, ship_package
+from marginalia.runtime import materialise, scratch, ship_package
 
 #: A chunk is one long: four minimum hashes of 16 bits. One of its symbols may differ.
 SYMBOLS, BITS = 4, 16
@@ -253,6 +253,7 @@ def near_duplicates(
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns. Up to ``broadcast_rows`` ids to leave
     out are sent to the texts; with more, the texts are shuffled."""
-    found = near_duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
-    gone = materialise(found.where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
+    with scratch() as keep:
+        found = near_duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
+        gone = keep(materialise(found.where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "near-gone"))
     return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, docs[id_col] == gone["__gone"], "left_anti")

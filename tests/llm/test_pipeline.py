@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import corpus_pipeline
 from marginalia.llm import line_dedup, mixing, near_dedup, quality
+from marginalia.runtime import scratch_dir
 
 
 def test_stages_follow_their_operators(spark, small):
@@ -74,3 +77,13 @@ def test_rows_that_repeat_are_mixed_one_by_one(spark):
         each[r.n] = each.get(r.n, 0) + 1
     assert max(each.values()) <= 2
     assert mixing.mix_documents(docs.where("false")).count() == 0
+
+
+def test_stages_leave_no_files(spark, small):
+    """Each stage's tables stayed beside the next one's, and so did its result."""
+    at = Path(scratch_dir(spark).removeprefix("file://"), "marginalia")
+    folders = lambda: {p.name for p in at.iterdir()} if at.exists() else set()
+    before = folders()
+    rows = corpus_pipeline.run(spark, small)
+    left = {n.rsplit("-", 1)[0] for n in folders() - before}
+    assert rows.count() and "pipeline-mix_sources" in left and not {n for n in left if n.startswith(("line", "near", "mix", "pipeline-n", "pipeline-l", "pipeline-q"))}, left
