@@ -35,6 +35,30 @@ def test_searches_against_rankings(sets, monkeypatch):
     near(ranking.searched_places(asked, items, 7).select("query", "item", "score", "place").collect(), ranking._placed(pairs, ("query",)).where("place <= 7").select("query", "item", "score", "place").collect())
 
 
+def test_blocks_are_folded_one_by_one(sets, monkeypatch):
+    """All blocks' runs were on disk at once, a byte or more for each pair and blend."""
+    asked, items = (df.where(f"{c} IS NOT NULL") for df, c in zip(sets, ("qv", "v"), strict=True))
+    asked = asked.withColumn("other", F.reverse("qv"))
+    whole = ranking.searched_ap(asked, items, ("qv", "other"), ((0.5, 0.5), (1.0, 0.0))).collect()
+    written = []
+    keep = blocks.materialise
+    monkeypatch.setattr(blocks, "materialise", lambda df, label: written.append((label, df.count())) or keep(df, label))
+    monkeypatch.setattr(blocks, "SCORES", 2000)
+    monkeypatch.setattr(blocks, "TOGETHER", 2)
+    near(ranking.searched_ap(asked, items, ("qv", "other"), ((0.5, 0.5), (1.0, 0.0))).collect(), whole)
+    assert len([n for label, n in written if label == "folded"]) > 3 and sum(n for label, n in written if label == "folded") == len(whole)
+
+
+def test_two_score_sets(sets):
+    """Every pair was a row."""
+    asked, items = sets
+    asked = asked.where("query <> 700").unionByName(asked.where("query = 0").selectExpr("query + 7 AS query", "qv", "CAST(NULL AS int) AS qlabel"))
+    pairs = ranking.similarity(asked, items).groupBy("relevant").agg(F.avg("score"), F.stddev_pop("score"))
+    got = blocks.score_sets(asked, items)
+    near(got.collect(), pairs.collect())
+    assert got.count() == 3 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_null_vectors_stand_last(sets):
     asked, items = sets
     got = {r["query"]: r["item"] for r in ranking.searched_places(asked, items, 1000).where("score IS NULL").select("query", "item").collect() if r["query"] != 700}
