@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import ngrams
-from marginalia.operators import ranking, selection, tables, text_ops
+from marginalia.operators import blocks, ranking, selection, tables, text_ops
 from marginalia.plans.registry import query
 from marginalia.plans.retrieval import BENCH_WORDS, PLACED, RANKED, by_example, items, mid_tie
 from marginalia.runtime import table
@@ -212,7 +212,7 @@ def p26_recognition(spark, sf_dir):
 @query(f"WITH {RANKED}, s AS (SELECT relevant, avg(score) AS m, stddev_pop(score) AS sd FROM r GROUP BY relevant) SELECT relevant, round(m, 6) AS mean, round(sd, 6) AS sd FROM s")
 def p27_two_score_sets(spark, sf_dir):
     """Mean and population deviation of the scores of right and of wrong items."""
-    return ranking.similarity(*by_example(spark, sf_dir)).groupBy("relevant").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"))
+    return blocks.score_sets(*by_example(spark, sf_dir)).select("relevant", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query(f"WITH {LINES}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id AS item, round(CASE WHEN n > 0 THEN e[1] / n ELSE 0 END, 6) AS x1, round(n, 6) AS energy FROM n")
