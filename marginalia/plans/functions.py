@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import sql
-from marginalia.operators import keyword, tables, visitor
+from marginalia.operators import blocks, keyword, tables, visitor
 from marginalia.plans.registry import query
-from marginalia.plans.retrieval import PLACED
+from marginalia.plans.retrieval import PLACED, by_example
 from marginalia.plans.text import CHARS, NAMES
 from marginalia.runtime import materialise, scratch_dir, table
 from marginalia.sources import binary
@@ -40,13 +40,12 @@ def u02_window_function(spark, sf_dir):
 
 @query(f"WITH {PLACED} SELECT query, round(avg(hits / place), 6) AS ap, round(1 / (1 + exp(-3 * avg(hits / place) + 1)), 6) AS p FROM placed WHERE relevant GROUP BY query")
 def u03_precision_function(spark, sf_dir):
-    """Precision of every hundredth vector, and its logistic curve, in SQL."""
-    views(spark, sf_dir, "embeddings")
-    return spark.sql("""
-        WITH q AS (SELECT vec_id AS query, cast(embedding AS ARRAY<DOUBLE>) AS qv, label AS qlabel FROM u_embeddings WHERE vec_id % 100 = 0),
-        r AS (SELECT query, vec_id AS item, round(aggregate(zip_with(qv, cast(embedding AS ARRAY<DOUBLE>), (x, y) -> x * y), 0D, (a, x) -> a + x), 6) AS score, qlabel = label AS relevant FROM q JOIN u_embeddings ON query <> vec_id),
-        p AS (SELECT query, average_precision(score - item / 1e12, relevant) AS ap FROM r GROUP BY query)
-        SELECT query, round(ap, 6) AS ap, round(platt(ap, -3D, 1D), 6) AS p FROM p""")
+    """Precision of every hundredth vector, and its logistic curve in SQL. A vector's ranking is one of all others, too many rows for the
+    aggregate ``average_precision``, so it is ranked in blocks."""
+    sql.register(spark)
+    asked, every = by_example(spark, sf_dir)
+    blocks.ranked(asked, every.where("item IS NOT NULL"), blocks.in_order, "ap double").createOrReplaceTempView("u_precision")
+    return spark.sql("SELECT query, round(ap, 6) AS ap, round(platt(ap, -3D, 1D), 6) AS p FROM u_precision")
 
 
 @query(f"WITH {NAMES} SELECT a.word AS a, b.word AS b, round(levenshtein(a.word, b.word) / greatest(len(a.word), len(b.word)), 6) AS distance FROM names a JOIN names b ON len(a.word) = len(b.word) AND a.word < b.word AND a.word[1] = b.word[1]")

@@ -72,6 +72,20 @@ def test_no_pair_is_a_row(spark, small):
         assert "Join Inner, NOT" not in plan and "Join Inner, (query" not in plan and "MapInArrow" in plan, name
 
 
+def test_score_sets_and_precision_in_blocks(spark, small):
+    """Both were joins with a row for every pair."""
+    for name in ("p27_two_score_sets", "u03_precision_function"):
+        plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan, name
+
+
+def test_precision_of_large_ids(spark, tmp_path):
+    """An item's id was taken off its score, which put ids past a million before others of a higher score."""
+    rows = [(0, [1.0, 0.0], 1), (3 * 10**6 + 1, [0.500002, 0.0], 1), (7, [0.500001, 0.0], 2), (8, [0.1, 0.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r.query, r.ap) for r in plans.QUERIES["u03_precision_function"](spark, str(tmp_path)).collect()] == [(0, round((1 + 2 / 3) / 2, 6))]
+
+
 def test_neighbours_meet_once(spark):
     """A pair that shares all 24 buckets was 24 rows of a join before its copies were dropped."""
     rows = spark.createDataFrame([(i, [i / 1000, 0.5]) for i in range(300)], "item long, v array<double>")
