@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from marginalia.operators import attributes, frontends, subspace
+from marginalia.operators import attributes, frontends, ranking, subspace
 from marginalia.operators.strips import unit
 from pyspark.sql import functions as F
 
@@ -145,3 +145,18 @@ def test_front_ends(spark, rows):
                 r = got[(m.name, kind)]
                 assert r.n_queries == len(asked) and abs(r.map - np.mean(values)) < 2e-6
     assert got[("linear", 1)].map > got[("direct", 1)].map > 0.4 and got[("linear", 1)].map > 0.6
+
+
+def test_scores_are_no_rows(spark, rows, monkeypatch):
+    """Every score of every front-end was a row, written and then sorted; the figures are those of these rows."""
+    models = [frontends.FrontEnd("features", lambda v: v, None), frontends.FrontEnd("direct", lambda v: v[:, :3] * 2, lambda t: t)]
+    queries = rows.where("item % 10 = 0")
+    texts = spark.createDataFrame([(int(c), [float(c // 2), float(c % 2), 0.0]) for c in range(4)], "label int, y array<double>")
+    by = ("front_end", "kind", "query")
+    pairs = frontends.scores(rows, queries, texts, models, "item", "v", "label")
+    wanted = ranking.mid_tie_ap(pairs, by).join(ranking.precision_at_1(pairs, by).select(*by, "p_at_1"), list(by)).groupBy("front_end", "kind").agg(F.count("*"), F.avg("ap"), F.avg("p_at_1")).collect()
+    monkeypatch.setattr(frontends, "scores", None)
+    got = {(r[0], r[1]): r[2:] for r in frontends.evaluated(rows, queries, texts, models, "item", "v", "label").collect()}
+    assert len(wanted) == len(got) == 3
+    for r in wanted:
+        assert all(abs(a - b) < 2e-6 for a, b in zip(got[(r[0], r[1])], r[2:], strict=True)), (r, got)
